@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, simhash, token_counts
-from passagekit.llm.common import read
+from passagekit.llm import bpe, decontaminate, lm, simhash, token_counts
+from passagekit.llm.common import read, remainder
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder("doc_id", 10)
+    kind = F.when(fold == 0, lm.HELD).when(fold == 1, lm.DELETED).otherwise(lm.COUNTED)
+    out, _ = lm.score(read(spark, sf_dir, "documents"), kind)
+    return out.select(
+        "doc_id", (F.col("kind") == lm.HELD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op10_interpolation": op10_interpolation,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
