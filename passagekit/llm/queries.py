@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, lm, simhash, token_counts
+from passagekit.llm import bpe, decontaminate, langid, lm, simhash, token_counts
 from passagekit.llm.common import read, remainder
 
 
+def op1_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held)
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,6 +62,7 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segmentation": op1_segmentation,
     "op4_simhash": op4_simhash,
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
