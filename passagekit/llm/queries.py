@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, langid, lm, simhash, token_counts
+from passagekit.llm import bpe, decontaminate, langid, lm, quality, simhash, token_counts
 from passagekit.llm.common import read, remainder
 
 
@@ -52,6 +52,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    net = quality.learn(docs, read(spark, sf_dir, "labels"), ~held)
+    out = quality.classify(docs, net)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = remainder("doc_id", 10)
     kind = F.when(fold == 0, lm.HELD).when(fold == 1, lm.DELETED).otherwise(lm.COUNTED)
@@ -67,6 +74,7 @@ QUERIES = {
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op9_bytes": op9_bytes,
     "op10_interpolation": op10_interpolation,
 }
 
