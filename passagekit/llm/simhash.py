@@ -40,7 +40,7 @@ WORDS, SEED, BITS = 4, 42, 4
 FOREST = ((22, 1), (14, 0), (14, 0), (14, 0))
 #: Rows a leaf is meant to hold, and beyond which it is dealt out as pairs of blocks.
 LEAF, LEAF_MOST = 2048, 16384
-#: Distinct fingerprints of which the trees are built (every one is indexed).
+#: About how many distinct fingerprints the trees are built of (every one is indexed).
 SAMPLE = 1 << 16
 #: Shingles hashed at once, which bounds memory for very long texts.
 PIECE = 1 << 15
@@ -212,7 +212,9 @@ def links(distinct: DataFrame, forest=FOREST, leaf: int = LEAF, leaf_most: int =
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    share = -(-total // SAMPLE)  # one in so many, by a hash of the fingerprint
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, share))) == 0)
+    sample = sample.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     trees = plant(sample, total, forest, leaf)
 
     def place(batches):
