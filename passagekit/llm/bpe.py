@@ -16,6 +16,7 @@ import base64
 from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from passagekit.llm.common import map_rows, small_batches
 
-#: Entries of a worker's memory of pre-tokens, and of pairs that fit; beyond, it starts anew.
-MEMO, PAIRS = 250_000, 400_000
+#: Entries of either half of a worker's memory of pre-tokens, and of its pairs that fit.
+MEMO, PAIRS = 150_000, 400_000
 
 
 class Vocabulary:
@@ -34,11 +35,16 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.token = {r: t for t, r in self.rank.items()}
+        self.size = {r: len(t) for r, t in self.token.items()}
+        if not all(bytes([i]) in self.rank for i in range(256)):
+            raise ValueError("the vocabulary lacks a byte")
         self.longest = max(map(len, self.rank))
-        self.reach: dict[bytes, int] = {}  # the longest token with these last two bytes
-        for t in self.rank:
-            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
         self._fit: dict[int, bool] = {}
+        # Finds every token that ends at a byte; the library's keys are text, one character a byte.
+        self._ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for t, r in self.rank.items():
+            self._ends.add_word(t.decode("latin-1"), r << 8 | len(t))
+        self._ends.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """BPE by definition: the adjacent pair of least rank is merged, leftmost first."""
@@ -63,6 +69,45 @@ class Vocabulary:
             known = self._fit[key] = self.merged(data) == ([after] if before < 0 else [before, after])
         return known
 
+    def last_tokens(self, data: bytes, last: list[int], old: list[int] | None = None, stop: int = 0, shift: int = 0):
+        """Appends to ``last`` the last token of each further prefix of ``data``.
+
+        With ``old``, the tokens before an edit that ended at ``stop`` and moved what
+        follows by ``shift``: ends once the tokens agree over the longest token's length.
+        """
+        fit, fits, n, agree = self._fit, self.fits, len(last), 0
+        ends = self._ends.iter(data.decode("latin-1"), n - self.longest) if n > self.longest else self._ends.iter(data.decode("latin-1"))
+        for end, found in ends:
+            if end != n:
+                continue
+            start = end + 1 - (found & 255)
+            t = found >> 8
+            key = last[start - 1] + 1 << 32 | t if start else t
+            known = fit.get(key)
+            if known is None:
+                known = fits(last[start - 1] if start else -1, t)
+            if known:
+                last.append(t)
+                n += 1
+                if old is not None and n - shift > stop:
+                    agree = agree + 1 if old[n - shift - 1] == t else 0
+                    if agree >= self.longest:
+                        return
+
+    def encode(self, data: bytes) -> list[int]:
+        last: list[int] = []
+        self.last_tokens(data, last)
+        return self.walk(last)
+
+    def walk(self, last: list[int]) -> list[int]:
+        """The encoding: from the end back by the length of each last token."""
+        out, at, size = [], len(last), self.size
+        while at:
+            t = last[at - 1]
+            out.append(t)
+            at -= size[t]
+        return out[::-1]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -76,43 +121,23 @@ class Prefixes:
         self.vocab, self.data, self.last = vocab, b"", []
         self.append(data)
 
-    def _token(self, data: bytes, last: list[int], end: int) -> int:
-        rank, fits = self.vocab.rank, self.vocab.fits
-        for start in range(max(0, end - self.vocab.reach.get(data[max(0, end - 2) : end], 1)), end):
-            t = rank.get(data[start:end])
-            if t is not None and fits(last[start - 1] if start else -1, t):
-                return t
-        raise ValueError("a byte is missing from the vocabulary")
-
     def append(self, data: bytes) -> None:
         """Add bytes at the end; no stored token changes."""
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._token(self.data, self.last, end))
+        self.vocab.last_tokens(self.data, self.last)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``data[start:stop]``; returns how many prefixes were computed."""
         old, shift = self.last, len(new) - (stop - start)
-        data = self.data[:start] + new + self.data[stop:]
-        last, agree = self.last[:start], 0
-        for end in range(start + 1, len(data) + 1):
-            last.append(self._token(data, last, end))
-            was = end - shift
-            agree = agree + 1 if was > stop and old[was - 1] == last[-1] else 0
-            if agree >= self.vocab.longest:
-                last += old[was:]
-                self.data, self.last = data, last
-                return end - start
-        self.data, self.last = data, last
-        return len(data) - start
+        self.data = self.data[:start] + new + self.data[stop:]
+        self.last = self.last[:start]
+        self.vocab.last_tokens(self.data, self.last, old, stop, shift)
+        done = len(self.last) - start
+        self.last += old[len(self.last) - shift :]
+        return done
 
     def tokens(self) -> list[int]:
-        """The encoding: from the end back by the length of each last token."""
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at - 1])
-            at -= len(self.vocab.token[out[-1]])
-        return out[::-1]
+        return self.vocab.walk(self.last)
 
 
 class Encoder:
@@ -121,17 +146,18 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
         self.memo: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def pre_token(self, piece: str) -> array:
-        known = self.memo.get(piece)
+        known = self.memo.get(piece) or self.older.get(piece)
         if known is None:
             data = piece.encode("utf-8", "replace")
             whole = self.vocab.rank.get(data)
-            known = array("i", [whole] if whole is not None else Prefixes(self.vocab, data).tokens())
+            known = array("i", [whole] if whole is not None else self.vocab.encode(data))
+        if len(piece) <= 64:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(data) <= 64:
-                self.memo[piece] = known
+                self.older, self.memo = self.memo, {}
+            self.memo[piece] = known
         return known
 
     def encode(self, text: str | None) -> array:
@@ -221,10 +247,21 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Adds ``bytes``: what the ids of each row spell; null ids give null bytes."""
 
     def run(batches):
-        token = vocabulary(path).token.__getitem__
+        vocab = vocabulary(path)
+        known = sorted(vocab.token)
+        size, at = np.zeros(known[-1] + 1, np.int64), np.zeros(known[-1] + 1, np.int64)
+        size[known] = [len(vocab.token[r]) for r in known]
+        at[known] = np.cumsum(size[known]) - size[known]
+        pool = np.frombuffer(b"".join(vocab.token[r] for r in known), np.uint8)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
-            spelt = pa.array([None if ids is None else b"".join(map(token, ids)) for ids in column.to_pylist()], pa.binary())
+            ids, rows = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            n = size[ids]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            spelt = pool[np.arange(ends[-1]) + np.repeat(at[ids] - ends[:-1], n)]
+            bounds = ends[np.concatenate(([0], np.cumsum(rows)))].astype(np.int32)
+            valid = pa.array(column.is_valid()).buffers()[1] if column.null_count else None
+            spelt = pa.Array.from_buffers(pa.binary(), len(batch), [valid, pa.py_buffer(bounds), pa.py_buffer(spelt)])
             yield pa.RecordBatch.from_arrays([*batch.columns, spelt], names=[*batch.schema.names, "bytes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -79,5 +79,7 @@ def test_query_over_a_table(spark, tmp_path, library):
         want.append((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
     got = [tuple(r) for r in queries.op6_bpe(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    ids = spark.createDataFrame([(1, None), (2, []), (3, [464, 3797])], "i int, ids array<int>")
+    assert [r.bytes for r in bpe.decode(ids, PATH).orderBy("i").collect()] == [None, b"", b"The cat"]
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.decode(bpe.encode(empty, PATH, P.PATTERN), PATH).collect() == []
