@@ -25,7 +25,7 @@ from passagekit.llm.common import small_batches, stored
 #: Entries of the table of frequent pre-tokens that tasks hold (a bound on the broadcast).
 HEAD = 300_000
 #: Distinct pre-tokens a task gathers before it hands on their frequencies.
-GATHER = 200_000
+GATHER = 400_000
 MARK = "▁"
 
 
@@ -153,7 +153,7 @@ def count_tokens(
 
     schema = f"{id_col} {kind}, n_bytes bigint, sum bigint, rest array<struct<pre_token string, n bigint>>"
     counted = stored(
-        docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("row", F.expr("uuid()"))
+        docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     )
     rare = counted.select("row", F.explode("rest").alias("r")).select("row", "r.pre_token", "r.n")
     found = rare.join(vocabulary.where(F.col("n") < F.lit(1 << power)).select("pre_token", "pieces"), "pre_token")
