@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, langid, lm, quality, simhash, token_counts
+from passagekit.llm import bpe, decontaminate, langid, lm, quality, simhash, token_counts, toxicity
 from passagekit.llm.common import read, remainder
 
 
@@ -17,6 +17,13 @@ def op1_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), ~held)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,6 +77,7 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_segmentation": op1_segmentation,
+    "op2_supervision": op2_supervision,
     "op4_simhash": op4_simhash,
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
