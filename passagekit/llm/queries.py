@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, langid, lm, quality, simhash, token_counts, toxicity
+from passagekit.llm import bpe, decontaminate, imatch, langid, lm, quality, simhash, token_counts, toxicity
 from passagekit.llm.common import read, remainder
 
 
@@ -24,6 +24,13 @@ def op2_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imatch.fingerprints(read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -78,6 +85,7 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_segmentation": op1_segmentation,
     "op2_supervision": op2_supervision,
+    "op3_imatch": op3_imatch,
     "op4_simhash": op4_simhash,
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
@@ -89,7 +97,48 @@ QUERIES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda t: t <> ''))"
+_SUBSETS = ", ".join(
+    f"coalesce(left(md5(string_agg(t, ' ' ORDER BY t) FILTER (WHERE substring(md5(t), {3 * seed + 1}, 3) < '{bound}')), 6), '-')"
+    for seed in range(imatch.SEEDS)
+    for bound in imatch.BOUNDS
+)
+_IMATCH = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (
+  SELECT doc_id, text, n, coalesce(lead(text) OVER o, first_value(text) OVER o) AS after,
+    coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM d WINDOW o AS (ORDER BY doc_id, text)
+),
+f AS (SELECT doc_id, next_id, n, text, left(text, n - n // 2) || left(after, n // 2) AS edited FROM e),
+forms AS (SELECT doc_id, 0 AS form, text FROM f UNION ALL SELECT doc_id, 1, edited FROM f),
+each AS (SELECT doc_id, form, unnest({terms}) AS t FROM forms),
+lex AS (
+  SELECT t FROM each WHERE form = 0 GROUP BY t
+  HAVING count(*) BETWEEN {low} * (SELECT count(*) FROM d) AND {high} * (SELECT count(*) FROM d)
+),
+signed AS (
+  SELECT doc_id, form, [left(md5(string_agg(t, ' ' ORDER BY t)), 6), {subsets}] AS sig
+  FROM each JOIN lex USING (t) GROUP BY doc_id, form
+),
+sigs AS (
+  SELECT doc_id, form, coalesce(sig, list_concat([left(md5('=' || text), 6)], list_transform(range({n}), lambda i: '-'))) AS sig
+  FROM forms LEFT JOIN signed USING (doc_id, form)
+)
+SELECT f.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(a.sig, ':') AS fingerprint, array_to_string(b.sig, ':') AS edited_fingerprint,
+  CAST(len(list_filter(list_zip(a.sig, b.sig), lambda x: x[1] = x[2] AND x[1] <> '-')) AS DOUBLE)
+    / len(list_filter(list_zip(a.sig, b.sig), lambda x: x[1] <> '-' OR x[2] <> '-')) AS near_edited,
+  CAST(len(list_filter(list_zip(a.sig, c.sig), lambda x: x[1] = x[2] AND x[1] <> '-')) AS DOUBLE)
+    / len(list_filter(list_zip(a.sig, c.sig), lambda x: x[1] <> '-' OR x[2] <> '-')) AS near_next
+FROM f JOIN sigs a ON a.doc_id = f.doc_id AND a.form = 0 JOIN sigs b ON b.doc_id = f.doc_id AND b.form = 1
+JOIN sigs c ON c.doc_id = f.next_id AND c.form = 0
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_imatch": _IMATCH.format(
+        terms=_TERMS.format("text"), low=imatch.LOW, high=imatch.HIGH, subsets=_SUBSETS, n=imatch.SEEDS * len(imatch.BOUNDS)
+    ),
     "op5_winnowing": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
