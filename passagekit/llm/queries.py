@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, imatch, langid, lm, quality, simhash, token_counts, toxicity
+from passagekit.llm import bpe, decontaminate, imatch, langid, lm, quality, simhash, token_counts, toxicity, warc
 from passagekit.llm.common import read, remainder
 
 
@@ -66,6 +66,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.archive(read(spark, sf_dir, "pages")))
+
+
 def op9_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     net = quality.learn(docs, read(spark, sf_dir, "labels"), ~held)
@@ -90,6 +94,7 @@ QUERIES = {
     "op5_winnowing": op5_winnowing,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_bytes": op9_bytes,
     "op10_interpolation": op10_interpolation,
 }
@@ -159,5 +164,16 @@ item AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(item.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, upper(sha1(payload)) AS h FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keep FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substring(h, 5 * (i // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM k
 """,
 }
