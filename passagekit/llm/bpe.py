@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from passagekit.llm.common import map_rows, small_batches
+from passagekit.llm.common import add_columns, small_batches
 
 #: Entries of either half of a worker's memory of pre-tokens, and of its pairs that fit.
 MEMO, PAIRS = 150_000, 400_000
@@ -217,30 +217,31 @@ class Document:
         return [t for _, p in self.pieces for t in p.tokens()]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids)`` per row: the token ids of the text, an empty list for a null.
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``: the token ids of the text, an empty list for a null.
+    ``keep``: the columns to return beside them.
 
     ``path`` is a rank file that every executor has. Rows are independent: repeated rows,
-    null ids and extra columns change nothing, an empty table gives an empty result.
-    Text is never merged across matches of ``pattern``, nor are special tokens known.
+    null ids and extra columns change nothing (a column named like the new one is
+    replaced), an empty table gives an empty result. Text is never merged across matches
+    of ``pattern``, nor are special tokens known.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         encoder = Encoder(path, pattern)
 
-        def step(cols):
+        def step(texts):
             flat, ends = array("i"), [0]
-            for text in cols[1]:
+            for text in texts:
                 flat += encoder.encode(text)
                 ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
-            return [pa.array(cols[0], pa.string() if kind == "string" else pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
         return step
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, ids array<int>")
+    return add_columns(docs, text_col, make, "ids array<int>", keep)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

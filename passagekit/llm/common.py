@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory.
 BATCH_ROWS = 512
@@ -53,28 +54,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_rows(
-    df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array] | dict]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` where ``make()`` gives, once a task, a function from the columns
-    of a batch (each a list) to the columns of the result (in ``schema``'s order)."""
-    names = [f.name for f in _schema(df.sparkSession, schema)]
+def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[pa.Array]]], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns of ``schema``, computed from its column ``text_col``.
+
+    ``make()`` gives, once a task, a function from the texts of a batch to the new columns.
+    ``keep``: the columns of ``df`` to return, all by default; they pass Python untouched.
+    Columns of ``df`` named like new ones are replaced.
+    """
+    new = [f.name for f in StructType.fromDDL(schema)]
+    kept = [f for f in df.schema if f.name not in new and (keep is None or f.name in keep)]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = step or make()
-            yield pa.RecordBatch.from_arrays(step([c.to_pylist() for c in batch.columns]), names=names)
-
-    return df.mapInArrow(run, schema)
-
-
-def _schema(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
+            if batch.num_rows:
+                step = step or make()
+                at = batch.schema.get_field_index
+                added = step(batch.column(at(text_col)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), *added], names=[*names, *new])
+
+    wanted = df.select(*dict.fromkeys([*names, text_col]))
+    return wanted.mapInArrow(run, StructType([*kept, *StructType.fromDDL(schema)]))
 
 
 def remainder(key: str, modulus: int):

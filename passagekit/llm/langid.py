@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import map_rows, small_batches
+from passagekit.llm.common import add_columns, small_batches
 
 #: Labelled texts sampled per language to learn from (by a hash of their id).
 PER_LANGUAGE = 200
@@ -210,25 +210,25 @@ def learn(docs: DataFrame, path: str, learn_from: Column, per_language: int = PE
     return fit({k: v for k, v in counts.items() if v}, list(_pieces(path)), prior)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` per row: the likeliest language of the whole text and its
-    posterior probability.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``: the likeliest language of each whole text
+    and its posterior probability. ``keep``: the columns to return beside them.
 
     Null texts and texts without a letter get ``und`` and 0; so does every text if the
     model has no language. Only the text is looked at. Repeated rows and null ids are
-    answered row by row; an empty table gives an empty result.
+    answered row by row; columns named like the new ones are replaced; an empty table
+    gives an empty result.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         scorer = Scorer(sent.value)
 
-        def step(cols):
-            named, score = scorer.texts(cols[1])
-            return [pa.array(cols[0], pa.string() if kind == "string" else pa.int64()), pa.array(named, pa.string()), pa.array(score, pa.float64())]
+        def step(texts):
+            named, score = scorer.texts(texts)
+            return [pa.array(named, pa.string()), pa.array(score, pa.float64())]
 
         return step
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, lang_pred string, score double")
+    return add_columns(docs, text_col, make, "lang_pred string, score double", keep)

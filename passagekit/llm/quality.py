@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import map_rows, small_batches
+from passagekit.llm.common import add_columns, small_batches
 
 #: Labelled texts sampled to train on (by a hash of their id).
 SAMPLE = 4000
@@ -182,18 +182,14 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str
     return train(table.column(0).to_pylist(), table.column(1).to_pylist())
 
 
-def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` per row: the probability that the whole text has label 1.
+def classify(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``score``: the probability that the whole text has label 1.
+    ``keep``: the columns to return beside it.
 
     Null texts are scored as empty ones (a chunk of padding). Only the text is looked at.
-    Repeated rows and null ids are answered row by row; an empty table gives an empty
-    result.
+    Repeated rows and null ids are answered row by row; a column named like the new one is
+    replaced; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(net)
-
-    def make():
-        return lambda cols: [pa.array(cols[0], pa.string() if kind == "string" else pa.int64()), pa.array(score(sent.value, cols[1]), pa.float64())]
-
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, score double")
+    return add_columns(docs, text_col, lambda: lambda texts: [pa.array(score(sent.value, texts), pa.float64())], "score double", keep)

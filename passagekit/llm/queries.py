@@ -14,13 +14,13 @@ def op1_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held)
-    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op2_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), ~held)
-    out = toxicity.score(docs, model)
+    out = toxicity.score(docs, model, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -52,7 +52,7 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
     return bpe.decode(encoded, path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -73,7 +73,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     net = quality.learn(docs, read(spark, sf_dir, "labels"), ~held)
-    out = quality.classify(docs, net)
+    out = quality.classify(docs, net, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import map_rows, small_batches, stored
+from passagekit.llm.common import add_columns, small_batches, stored
 from passagekit.llm.components import components
 
 #: Words in a shingle; seed of the hash; most differing bits of a link.
@@ -65,20 +65,15 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(id, fp)`` per row, fp the SimHash as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` with ``fp``, the SimHash of the text as a signed 64-bit number.
+    ``keep``: the columns to return beside it."""
     small_batches(docs.sparkSession)
 
-    def make():
-        def step(cols):
-            values = np.array([simhash(t, words) for t in cols[1]], np.uint64).view(np.int64)
-            return [pa.array(cols[0], kind), pa.array(values)]
+    def step(texts):
+        return [pa.array(np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64))]
 
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        return step
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {id_type}, fp bigint")
+    return add_columns(docs, text_col, lambda: step, "fp bigint", keep)
 
 
 class Tree:
@@ -262,12 +257,13 @@ def near_duplicates(
     """One row per document: ``(id, fp, component_id)``.
 
     ``component_id`` is the least id reachable over links of at most ``BITS`` bits, its
-    own included. Null and wordless texts have fingerprint zero, linked like any other.
+    own included; ids may be of any type that has an order, structs too. Null and wordless
+    texts have fingerprint zero, linked like any other.
     Repeated rows stay repeated; rows with a null id take part and get the least non-null
     id of their component (null if there is none). An empty table gives an empty result.
     Columns beyond the two named are ignored.
     """
-    marked = stored(fingerprints(docs, id_col, text_col, words))
+    marked = stored(fingerprints(docs, [id_col], text_col, words))
     first = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
     rooted = stored(components(links(first)))
     of = first.join(rooted, first.fp == rooted.node, "left").select(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import map_rows, small_batches
+from passagekit.llm.common import add_columns, small_batches
 
 #: Labelled texts sampled (by a hash of their id), lexicon voters, features of the classifier.
 SAMPLE, VOTERS, FEATURES = 4500, 200, 1500
@@ -205,19 +205,20 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str
     return fit(table.column(0).to_pylist(), table.column(1).to_pylist(), share)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` per row: the probability that the whole text has label 1.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``score``: the probability that the whole text has label 1.
+    ``keep``: the columns to return beside it.
 
     Null, empty and wordless texts have no features and are scored by the bias (and what
     patterns they show). Only the text is looked at. Repeated rows and null ids are
-    answered row by row; an empty table gives an empty result.
+    answered row by row; a column named like the new one is replaced; an empty table gives
+    an empty result.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         one = sent.value.score
-        return lambda cols: [pa.array(cols[0], pa.string() if kind == "string" else pa.int64()), pa.array([one(t) for t in cols[1]], pa.float64())]
+        return lambda texts: [pa.array([one(t) for t in texts], pa.float64())]
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, score double")
+    return add_columns(docs, text_col, make, "score double", keep)
