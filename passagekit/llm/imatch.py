@@ -55,12 +55,16 @@ def _short(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 6)
 
 
-def subset_hashes(kept: Column, instead: Column) -> Column:
-    """Hashes of the whole of the sorted terms ``kept`` and of its subsets, ``-`` if empty.
+def hashed(kept: Column) -> Column:
+    """Terms with their MD5; a column of its own, as all seeds use it."""
+    return F.transform(F.sort_array(kept), lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("h")))
+
+
+def subset_hashes(pairs: Column, instead: Column) -> Column:
+    """Hashes of the whole of the sorted terms and of its subsets, ``-`` if empty.
 
     A text without any term in band has ``instead``, its own hash, for the whole.
     """
-    pairs = F.transform(kept, lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("h")))
     joined = lambda part: F.array_join(F.transform(part, lambda x: x["t"]), " ")
 
     def of_seed(seed: int) -> Column:
@@ -75,7 +79,7 @@ def subset_hashes(kept: Column, instead: Column) -> Column:
         start = F.struct(pairs.alias("rest"), F.expr("cast(array() as array<string>)").alias("out"))
         return F.aggregate(F.array(*map(F.lit, BOUNDS)), start, step, lambda acc: acc["out"])
 
-    whole = F.when(F.size(kept) > 0, _short(F.array_join(kept, " "))).otherwise(instead)
+    whole = F.when(F.size(pairs) > 0, _short(joined(pairs))).otherwise(instead)
     return F.concat(F.array(whole), *(of_seed(s) for s in range(SEEDS)))
 
 
@@ -141,13 +145,15 @@ def fingerprints(
     # that it is not copied for each, and rows without any other term stay.
     instead = lambda c: _short(F.concat(F.lit("="), F.col(c)))
     rest = F.struct(F.col(id_col), "guest", "n_chars", "edited", instead("text").alias("instead"), instead("edited").alias("edited_instead"))
-    item = lambda form, t, x: F.struct(F.lit(form).alias("form"), t.alias("t"), x.alias("rest"))
-    none = F.when(F.lit(False), rest)
-    form = lambda c, v: F.transform(terms(F.col(c)), lambda t: item(v, t, none))
-    items = F.concat(F.array(item(0, F.lit(""), rest)), form("text", 0), F.coalesce(form("edited", 1), F.array()))
-    held = rows.select("range", "pos", F.explode(items).alias("x")).select("range", "pos", "x.*", F.xxhash64("x.t").alias("h")).join(words, "h")
-    kept = lambda v: F.sort_array(F.collect_list(F.when((F.col("form") == v) & (F.col("t") != ""), F.col("t"))))
-    whole = held.groupBy("range", "pos").agg(kept(0).alias("kept"), kept(1).alias("edited_kept"), F.first("rest", ignorenulls=True).alias("rest"))
+    rows = rows.withColumns({"own_terms": terms(F.col("text")), "other_terms": F.coalesce(terms(F.col("edited")), F.array())})
+    items = F.concat(F.array(F.lit("")), F.col("own_terms"), F.col("other_terms"))
+    held = rows.select("*", F.posexplode(items).alias("i", "t"))
+    held = held.select(
+        "range", "pos", (F.col("i") > F.size("own_terms")).alias("other"), "t", F.when(F.col("i") == 0, rest).alias("rest"), F.xxhash64("t").alias("h")
+    ).join(words, "h")
+    of = lambda form: F.collect_list(F.when((F.col("t") != "") & (F.col("other") == form), F.col("t")))
+    whole = held.groupBy("range", "pos").agg(of(False).alias("kept"), of(True).alias("edited_kept"), F.first("rest", ignorenulls=True).alias("rest"))
+    whole = whole.select("range", "pos", "rest", hashed(F.col("kept")).alias("kept"), hashed(F.col("edited_kept")).alias("edited_kept"))
     signed = whole.select(
         "range",
         "pos",
