@@ -101,9 +101,13 @@ def match_by_class(predictions: DataFrame, truth: DataFrame, key: str = "image_i
     predictions, ``confidence``. Ties go to the later truth in order."""
 
     def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("ord"), t.sort_values("ord")
-        boxes = lambda d: d[list(_XY)].to_numpy(np.float64).tolist()
-        events = greedy_by_class(list(zip(p["label"], p["confidence"], boxes(p), strict=True)), list(zip(t["label"], boxes(t), strict=True)), threshold)
+        def columns(d, *names):  # a side without rows may lack columns
+            if not len(d):
+                return []
+            d = d.sort_values("ord")
+            return list(zip(*(d[n] for n in names), d[list(_XY)].to_numpy(np.float64).tolist(), strict=True))
+
+        events = greedy_by_class(columns(p, "label", "confidence"), columns(t, "label"), threshold)
         image = (p if len(p) else t)[key].iloc[0]
         out = pd.DataFrame(events, columns=["label", "kind"])
         counts = pd.crosstab(out["label"], out["kind"]).reindex(columns=["tp", "fp", "fn"], fill_value=0).reset_index()
