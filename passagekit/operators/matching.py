@@ -115,4 +115,6 @@ def match_by_class(predictions: DataFrame, truth: DataFrame, key: str = "image_i
         return counts
 
     kind = predictions.schema[key].dataType.simpleString()
+    # Two sides cut from one table would share column identities, which pruning confuses.
+    truth = truth.select(*(F.expr(f"coalesce(`{c}`, NULL)").alias(c) for c in truth.columns))
     return predictions.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(run, f"{key} {kind}, label string, tp bigint, fp bigint, fn bigint")
