@@ -22,6 +22,7 @@ FUSE_AGREEMENT, FUSE_ACCEPT, FUSE_FORMAT, FUSE_SINGLE, FUSE_CAP, FUSE_BONUS, FUS
 FUSE_FLOOR, FUSE_FORMAT_WEIGHT, FUSE_SHARP_WEIGHT, RESCUE_DIFFERENCES = 0.01, 0.5, 0.1, 2
 CONTAINED, VEHICLE_CONFIDENCE, FIRST_CONTAINED = 0.9, 0.5, 0.85
 IOU = 0.5
+VEHICLE_TYPES, VEHICLE_DETECTION = ("car", "motorcycle", "bus", "truck", "other"), 0.35
 NEAR_BITS = 4
 VAL_SHARE, TEST_SHARE, SEED = 0.15, 0.15, 42
 GROUP_CAP, CAP_SALT = 20, "balanced-sampling-v1:"

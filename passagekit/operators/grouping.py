@@ -12,13 +12,20 @@ from passagekit.operators.components import components
 
 #: Bits per band: of five bands, four differing bits leave one as it is.
 BANDS = (12, 13, 13, 13, 13)
+#: Distinct hashes of a group that are named in one step.
+TOGETHER = 100_000
 
 
 def exact_dedupe(records: DataFrame, hash_col: str = "pixel_sha256", path_col: str = "path") -> DataFrame:
-    """One row per hash: the least path, all paths and how many there are, sorted."""
-    return records.groupBy(hash_col).agg(
-        F.min(path_col).alias("kept"), F.sort_array(F.collect_set(path_col)).alias("aliases"), F.count("*").alias("copies")
-    )
+    """One row per hash: the least path and how many rows have the hash."""
+    return records.groupBy(hash_col).agg(F.min(path_col).alias("kept"), F.count("*").alias("copies"))
+
+
+def aliases(records: DataFrame, hash_col: str = "pixel_sha256", path_col: str = "path") -> DataFrame:
+    """``(path, hash, kept)`` of every distinct path that was dropped for another of its
+    hash: a row each, so that no group of copies has to be held together."""
+    kept = exact_dedupe(records, hash_col, path_col).where("copies > 1").select(hash_col, "kept")
+    return records.select(path_col, hash_col).join(kept, hash_col).where(F.col(path_col) != F.col("kept")).distinct()
 
 
 def near_duplicates(records: DataFrame, id_col: str = "id", hash_col: str = "dhash", bits: int = C.NEAR_BITS) -> DataFrame:
@@ -62,9 +69,21 @@ def leakage_groups(records: DataFrame, id_col: str = "id") -> DataFrame:
     near = near_duplicates(records, id_col).select("a", "b")
     roots = components(edges.unionByName(by_hash).unionByName(near))
     whole = records.join(roots, records[id_col] == roots["node"], "left").select(id_col, "pixel_sha256", F.coalesce("root", id_col).alias("root"))
-    # One name per group from its distinct hashes, each brought once.
-    names = whole.select("root", "pixel_sha256").distinct().groupBy("root").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("pixel_sha256")), "\n"), 256).alias("leakage_group"))
-    return whole.join(names, "root").select(id_col, "root", "leakage_group")
+    return whole.join(_names(whole), "root").select(id_col, "root", "leakage_group")
+
+
+def _names(members: DataFrame) -> DataFrame:
+    """``(root, leakage_group)``: SHA-256 of a group's sorted distinct hashes, a line each.
+    Groups of more than ``TOGETHER`` hashes are folded in two steps, by the beginning of the
+    hash first, so that no task holds one whole."""
+    distinct = members.select("root", "pixel_sha256").distinct()
+    sizes = distinct.groupBy("root").agg(F.count("*").alias("n"))
+    large = distinct.join(sizes.where(F.col("n") > TOGETHER), "root", "left")
+    bucket = F.when(F.col("n").isNull(), "").otherwise(F.substring(F.sha2("pixel_sha256", 256), 1, 3))
+    folded = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    parts = large.groupBy("root", bucket.alias("bucket")).agg(folded("pixel_sha256").alias("h"))
+    whole = parts.groupBy("root").agg(F.max("bucket").alias("last"), F.first("h").alias("one"), folded(F.concat("bucket", "h")).alias("all"))
+    return whole.select("root", F.when(F.col("last") == "", F.col("one")).otherwise(F.col("all")).alias("leakage_group"))
 
 
 def conflicting_copies(records: DataFrame, hash_col: str = "pixel_sha256", value: str = "text") -> DataFrame:

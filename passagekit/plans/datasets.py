@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passagekit import constants as C
 from passagekit.functions import text as T
 from passagekit.functions import values as V
-from passagekit.operators import grouping, metrics, provenance, splits
+from passagekit.operators import grouping, metrics, provenance, rows, splits
 from passagekit.operators.components import components as connected
 from passagekit.plans.registry import query
 from passagekit.sources import readers
@@ -102,10 +102,34 @@ def pair_clear_degraded(t):
     return splits.clear_pairs(rows, "rain")
 
 
-@query("SELECT md5(text) AS pixel_sha256, min(doc_id) AS kept, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS aliases, count(*) AS copies FROM documents GROUP BY 1")
+def _copies(t):
+    return t.documents.select(F.md5(F.col("text").cast("binary")).alias("pixel_sha256"), F.col("doc_id").alias("path"))
+
+
+@query("SELECT md5(text) AS pixel_sha256, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
 def exact_dedupe(t):
-    rows = t.documents.select(F.md5(F.col("text").cast("binary")).alias("pixel_sha256"), F.col("doc_id").alias("path"))
-    return grouping.exact_dedupe(rows).withColumn("aliases", F.array_join(F.transform("aliases", lambda x: x.cast("string")), ","))
+    return grouping.exact_dedupe(_copies(t))
+
+
+@query("WITH d AS (SELECT doc_id AS path, md5(text) AS pixel_sha256, min(doc_id) OVER (PARTITION BY md5(text)) AS kept FROM documents) SELECT DISTINCT * FROM d WHERE path <> kept")
+def dedupe_aliases(t):
+    return grouping.aliases(_copies(t))
+
+
+@query(
+    """ SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY vehicle_id) AS INTEGER) AS vehicle_id, CASE vehicle_type WHEN 'other' THEN 'unknown' ELSE vehicle_type END AS vehicle_type, confidence
+FROM (SELECT image_id, vehicle_id, confidence, CASE vehicle_type WHEN 'unknown' THEN 'other' WHEN 'truck' THEN 'tram' ELSE vehicle_type END AS vehicle_type FROM fx_vehicle) WHERE vehicle_type <> 'tram' AND confidence >= 0.35""",
+    "fx_vehicle",
+)
+def vehicle_whitelist(t):
+    kind = F.when(F.col("vehicle_type") == "unknown", "other").when(F.col("vehicle_type") == "truck", "tram").otherwise(F.col("vehicle_type"))
+    rows_ = t.fx_vehicle.select("image_id", F.col("vehicle_id").alias("ord"), kind.alias("vehicle_type"), "confidence")
+    return rows.whitelisted_vehicles(rows_).drop("ord")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY sha256(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 500")
+def fixed_sample(t):
+    return rows.fixed_sample(t.documents.select("doc_id", "lang"), 500, "doc_id")
 
 
 @query(

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from passagekit.operators import constraints, grouping, metrics, provenance, splits
+from passagekit.operators import constraints, grouping, metrics, provenance, rows as row_operators, splits
 from passagekit.sources import readers, writers
 from passagekit.streaming import passages
 
@@ -82,6 +82,34 @@ def test_groups_over_all_kinds_of_links(spark):
     assert [r.pixel_sha256 for r in grouping.conflicting_copies(copies).collect()] == ["h"]
 
 
+def test_names_of_large_groups(spark, monkeypatch):
+    members = spark.createDataFrame([(1, f"h{i % 50}") for i in range(120)] + [(2, "a"), (2, "b"), (2, "a")], "root int, pixel_sha256 string")
+    import hashlib
+
+    small = {r.root: r.leakage_group for r in grouping._names(members).collect()}
+    assert small[2] == hashlib.sha256(b"a\nb").hexdigest()
+    monkeypatch.setattr(grouping, "TOGETHER", 10)
+    large = {r.root: r.leakage_group for r in grouping._names(members).collect()}
+    assert large[2] == small[2] and large[1] != small[1] and len(large[1]) == 64
+
+
+def test_row_filters(spark):
+    box = "array<struct<text string>>"
+    df = spark.createDataFrame([("a", [("x",)], True), ("b", [], None), ("c", [("x",), (None,)], False), ("d", [("",)], None)], f"image_path string, boxes {box}, full_image_labels_verified boolean")
+    names = lambda d: sorted(r.image_path for r in d.collect())
+    assert names(row_operators.transcribed(df)) == ["a"] and names(row_operators.transcribed(df, True)) == ["a", "b", "d"]
+    assert names(row_operators.unverified(df)) == ["c"] and names(row_operators.first_rows(df, 2, "image_path")) == ["a", "b"]
+
+
+def test_other_rules(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0), (2, 5.0, 0.0, 5.0, 5.0), (3, None, 0.0, 5.0, 5.0), (4, 0.0, 0.0, 11.0, 5.0)], "image_id int, x1 double, y1 double, x2 double, y2 double").withColumns({"width": F.lit(10), "height": F.lit(10)})
+    assert {r.key for r in constraints.invalid_boxes(boxes).collect()} == {"2", "3", "4"}
+    child, parent = spark.createDataFrame([("a",), ("b",)], "source_id string"), spark.createDataFrame([("a",)], "source_id string")
+    assert [r.key for r in constraints.orphans(child, parent, "source_id").collect()] == ["b"]
+    whole = splits.variants(parent)
+    assert constraints.variant_violations(whole).count() == 0 and constraints.variant_violations(whole.where("severity <> 'none'")).count() == 1
+
+
 def test_provenance(spark):
     seen = provenance.seen(spark.createDataFrame([entry(1, "g1", "train", duplicate_source_sha256=["dup"]), entry(2, "g2", "test")], ENTRY))
     record = provenance.as_record(seen).first()
