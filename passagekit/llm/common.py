@@ -6,8 +6,6 @@ Nothing here swallows errors. Every folder an operator writes lies under
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from passagekit.plans.shared import shared_dir, stored
+
+__all__ = ["add_columns", "read", "remainder", "shared_dir", "small_batches", "stored"]
+
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
@@ -25,29 +27,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir`` (set here only where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="passagekit-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/passagekit-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts lineage and survives lost executors: a later stage that has to be run
-    again reads files instead of recomputing its parents.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound Arrow batches by rows and bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
