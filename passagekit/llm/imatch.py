@@ -31,6 +31,8 @@ from passagekit.llm.common import stored
 LOW, HIGH = 0.001, 0.25
 #: Lexicon terms that are broadcast at most; characters of text in a range of ids.
 BROADCAST, RANGE_CHARS, RANGES = 400_000, 2 << 20, 1 << 16
+#: Texts whose terms are collected in a map at once, beyond which they are sorted (and may spill).
+GROUPS = 4096
 #: Seeds; three hex digits of the term's MD5 each, and a subset holds those below a bound:
 #: one in 4, 8, 16, ... 4096.
 SEEDS, BOUNDS = 8, ("400", "200", "100", "080", "040", "020", "010", "008", "004", "002", "001")
@@ -40,7 +42,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def terms(text: Column) -> Column:
     """Distinct terms: runs of letters, digits and non-ASCII characters, lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), SEPARATORS)), "")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -130,7 +132,7 @@ def fingerprints(
     only row follows itself; an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
     words = stored(lexicon(docs, text_col, low, high)).unionByName(spark.sql("SELECT xxhash64('') AS h"))
     if words.count() <= BROADCAST:
         words = F.broadcast(words)
