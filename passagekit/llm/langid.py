@@ -69,7 +69,7 @@ class Matcher:
     def find(self, found: list[str]):
         """``(lengths, word, end, piece)`` of every piece, ordered by its end in the word."""
         lengths = np.array([len(w) + 1 for w in found], np.int64)
-        ends = list(self.automaton.iter("\n".join(MARK + w for w in found)))
+        ends = list(self.automaton.iter("\n".join(MARK + w for w in found))) if len(self.size) else []
         at = np.array([e for e, _ in ends], np.int64)
         piece = np.array([p for _, p in ends], np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
