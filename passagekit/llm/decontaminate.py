@@ -26,7 +26,7 @@ from passagekit.llm.common import small_batches, stored
 #: Words of a window, and of a hashed run.
 SPAN, K = 10, 5
 #: Characters of test items in one broadcast index.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
 #: Pairs of a kept hash's places extended at once.
 PAIRS = 1 << 19
 #: Marks between documents and between items, so that no match reaches across.
