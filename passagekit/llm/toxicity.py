@@ -126,12 +126,13 @@ def fit(texts: list[str | None], labels: list[int], share_of_ones: float | None
     if len(set(labels)) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, np.zeros(len(PATTERNS)), float(np.log(share / (1 - share))))
-    found = [_WORDS((t or "").lower()) for t in texts]
+    words = lambda text: _WORDS((text or "").lower())
     ones, all_ = Counter(), Counter()
-    for ws in found:
-        all_.update(terms(set(ws)))
+    for text in texts:
+        all_.update(terms(set(words(text))))
     all_ = {t: n for t, n in all_.items() if n >= LEAST}
-    held = [terms(set(ws)) & all_.keys() for ws in found]
+    shared = {t: t for t in all_}  # one string per term, whatever number of texts hold it
+    held = [{shared[t] for t in terms(set(words(text))) if t in shared} for text in texts]
     for h, label in zip(held, labels, strict=True):
         if label:
             ones.update(h)
@@ -148,7 +149,8 @@ def fit(texts: list[str | None], labels: list[int], share_of_ones: float | None
     for i, h in enumerate(held):
         votes[i, [place[t] for t in h & place.keys()]] = 1
         votes[i, len(voters)] = not votes[i, : len(voters)].any()
-        votes[i, len(voters) + 1 :] = [bool(rule(texts[i] or "", found[i])) for _, rule in PATTERNS]
+        ws = words(texts[i])
+        votes[i, len(voters) + 1 :] = [bool(rule(texts[i] or "", ws)) for _, rule in PATTERNS]
     rate = votes.mean(0)
     starts = np.stack([rate, rate], 1)
     starts[: len(voters)] = np.stack([rate[: len(voters)] * 0.2, (rate[: len(voters)] * 5).clip(0, 0.5)], 1)
