@@ -28,7 +28,7 @@ from passagekit.llm import words
 from passagekit.llm.common import small_batches, stored
 
 #: Bytes of text in a block (one longer text is a block of its own); tokens a shard counts.
-BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 1 << 21
+BLOCK_BYTES, SHARD_TOKENS = 4 << 20, 1 << 21
 #: Kinds of texts: scored only, deleted from the counts while weights are learned, counted.
 HELD, DELETED, COUNTED = 0, 1, 2
 #: Buckets of context frequency; steps per unit of log ratio in the learning histogram.
@@ -302,7 +302,7 @@ def score(
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     blocks = stored(_blocks(docs, id_col, text_col, kind, block_bytes))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark, 8)
     sums = {r.kind: r.n or 0 for r in blocks.groupBy("kind").agg(F.sum("tokens").alias("n")).collect()}
     n = sums.get(DELETED, 0) + sums.get(COUNTED, 0)
     bits = max(0, int(np.ceil(np.log2(max(1, sum(sums.values()) / shard_tokens)))))
