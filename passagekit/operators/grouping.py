@@ -10,8 +10,9 @@ from passagekit.functions import text as T
 from passagekit.functions.values import differing_bits
 from passagekit.operators.components import components
 
-#: Bits per band: of five bands, four differing bits leave one as it is.
-BANDS = (12, 13, 13, 13, 13)
+#: Masks of the bands: of five, four differing bits leave one as it is. Each takes every fifth
+#: bit, so that a run of bits that are the same everywhere does not make a band of its own.
+BANDS = tuple(sum(1 << b for b in range(i, 64, 5)) for i in range(5))
 #: Distinct hashes of a group that are named in one step.
 TOGETHER = 100_000
 
@@ -38,10 +39,8 @@ def near_duplicates(records: DataFrame, id_col: str = "id", hash_col: str = "dha
     if bits >= len(BANDS):
         raise ValueError("five bands find pairs of up to four differing bits")
     distinct = records.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
-    at, bands = 0, []
-    for i, width in enumerate(BANDS):
-        bands.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("value")))
-        at += width
+    signed = [m - (1 << 64) if m >> 63 else m for m in BANDS]
+    bands = [F.struct(F.lit(i).alias("band"), F.col("h").bitwiseAND(F.lit(m).cast("bigint")).alias("value")) for i, m in enumerate(signed)]
     banded = distinct.select("id", "h", F.explode(F.array(*bands)).alias("key"))
     other = banded.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "key")
     distance = differing_bits(F.col("h"), F.col("h2"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +70,17 @@ def maximum_matching(targets: list[int], edges: list[tuple[int, int, float]]) ->
 def match_boxes(truth: DataFrame, predictions: DataFrame, key: str = "image_id", threshold: float = C.IOU) -> DataFrame:
     """``(key, target_id, plate_id, iou)``: a maximum one-to-one matching per image."""
     edges = iou_edges(truth, predictions, key, threshold)
+    images = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target_id", "plate_id", "iou"))).alias("e"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = list(zip(pdf["target_id"].tolist(), pdf["plate_id"].tolist(), pdf["iou"].tolist(), strict=True))
-        match = maximum_matching(sorted(set(pdf["target_id"].tolist())), items)
-        return pdf[[match.get(t) == p for t, p, _ in items]]
+    def run(batches):  # many images in one batch
+        for batch in batches:
+            kept = []
+            for items in batch.column(1).to_pylist():
+                match = maximum_matching(sorted({x["target_id"] for x in items}), [(x["target_id"], x["plate_id"], x["iou"]) for x in items])
+                kept.append([x for x in items if match.get(x["target_id"]) == x["plate_id"]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, batch.column(1).type)], names=[key, "e"])
 
-    return edges.groupBy(key).applyInPandas(run, edges.schema)
+    return images.mapInArrow(run, images.schema).select(key, F.explode("e").alias("x")).select(key, "x.*")
 
 
 def greedy_by_class(predictions: list[tuple], truth: list[tuple], threshold: float = C.IOU) -> list[tuple[str, str]]:
