@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, langid, quality, simhash
+from passagekit.llm import bpe, decontaminate, langid, near, quality
 from passagekit.llm.common import read, remainder, stored
 
 #: A text goes if its language is unknown or less likely than this, or its quality lower.
@@ -46,13 +46,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays.
 
-    Rows are told apart by their number in the table just read, also where ids repeat or
-    are null (null ids count as least).
+    Linked are texts whose five-word shingles have a similarity of 0.8 or more. Rows are told
+    apart by their number in the table just read, also where ids repeat or are null (null ids
+    count as least).
     """
-    numbered = _apart(docs).withColumn("_row", F.struct("doc_id", F.monotonically_increasing_id().alias("n")))
-    groups = simhash.near_duplicates(numbered.select("_row", "text"), "_row")
-    first = groups.where(F.col("_row") == F.col("component_id")).select(F.col("_row.n").alias("n"))
-    return _together(numbered.join(first, F.col("_row.n") == F.col("n"), "left_semi"), docs)
+    numbered = _apart(docs).withColumn("n", F.monotonically_increasing_id())
+    first = near.first_of_groups(numbered.select("doc_id", "n", "text"))
+    return _together(numbered.join(first, "n", "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

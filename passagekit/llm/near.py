@@ -1,0 +1,152 @@
+"""Near copies by the similarity of their word shingles, each link verified exactly.
+
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
+``SIMILARITY`` or more. Texts of the same words are one node from the start, so a group of
+copies of any size costs one row. Candidates come from minima of the shingles' hashes
+(MinHash) in ``BANDS`` bands of ``ROWS``: a pair at the bound misses all bands with a
+probability of (1 - 0.8 ** 5) ** 32, 3 in a million, and more similar ones more rarely.
+
+A bucket of m texts has m * m / 2 pairs, most of which say nothing new. So for ``ROUNDS``
+rounds each bucket compares one of its texts with those that are not yet joined to it, a row
+a text; then every pair of a bucket that is still in two groups, and not yet refused, is
+compared. No candidate is dropped, only those that could not change a group.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from passagekit.llm.common import add_columns, small_batches, stored
+from passagekit.operators.components import components
+
+#: Words in a shingle; least similarity of a link, as a fraction.
+WORDS, SIMILARITY = 5, (4, 5)
+#: Bands of a signature and the minima in each; rounds of comparison with one text a bucket.
+BANDS, ROWS, ROUNDS = 32, 5, 2
+#: Shingles whose minima are taken at once, which bounds memory for very long texts.
+PIECE = 1 << 12
+
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def shingles(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    width, n = min(words, len(tokens)), max(1, len(tokens) - words + 1)
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = out * _STEP + each[i : i + n]
+    return np.unique(_mixed(out))
+
+
+def bands(of: np.ndarray) -> np.ndarray:
+    """A hash per band of a text's minima; none for a text without words."""
+    if not len(of):
+        return of
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(of), PIECE):
+        np.minimum(least, (of[None, at : at + PIECE] * _FACTORS[:, None]).min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = _mixed(out * _STEP + row)
+    return out
+
+
+def _signed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``key`` (a digest of the text's words) and ``bands``."""
+
+    def step(texts):
+        tokens = [words_of(t) for t in texts]
+        keys = [xxhash.xxh128_digest(b" ".join(t)) for t in tokens]
+        return [pa.array(keys, pa.binary()), pa.array([bands(shingles(t)).view(np.int64) for t in tokens], pa.list_(pa.int64()))]
+
+    return add_columns(docs, "text", lambda: step, "key binary, bands array<bigint>", keep)
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``n`` and ``s``, the text's shingles as bytes."""
+
+    def step(texts):
+        return [pa.array([shingles(words_of(t)).tobytes() for t in texts], pa.binary())]
+
+    return add_columns(docs, "text", lambda: step, "s binary", ["n"])
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, ok)`` of distinct pairs."""
+
+    def run(batches):
+        for batch in batches:
+            ok = [similar(x, y) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    left = sets.select(F.col("n").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("n").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+
+
+def _joined(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """``(node, root)`` over all verified pairs of ``shared(v, n)``, the texts of each bucket."""
+    seen = roots = None
+    for k in range(ROUNDS + 1):
+        members = shared.withColumn("c", F.col("n"))
+        if roots is not None:
+            members = shared.join(roots, shared.n == roots.node, "left").select("v", "n", F.coalesce("root", "n").alias("c"))
+        if k < ROUNDS:
+            other = members.groupBy("v").agg(F.min(F.struct(F.xxhash64("n", F.lit(k)).alias("o"), "n", "c")).alias("h"))
+            other = other.select("v", F.col("h.n").alias("n2"), F.col("h.c").alias("c2"))
+            apart = F.col("c") != F.col("c2")
+        else:
+            split = members.groupBy("v").agg(F.min("c").alias("l"), F.max("c").alias("m")).where("l <> m").select("v")
+            members = members.join(split, "v", "left_semi")
+            other = members.select("v", F.col("n").alias("n2"), F.col("c").alias("c2"))
+            apart = F.col("c") < F.col("c2")
+        pairs = members.join(other, "v").where(apart).select(F.least("n", "n2").alias("a"), F.greatest("n", "n2").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        new = stored(_verified(stored(pairs), sets))
+        seen = new if seen is None else seen.unionByName(new)
+        if not new.where("ok").isEmpty():
+            roots = stored(components(seen.where("ok").select("a", "b")))
+    return roots
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """``n`` of the row of least ``(doc_id, n)`` in each group of near copies of ``docs(doc_id,
+    n, text)``; ``n`` numbers the rows. Texts without words are copies of each other."""
+    small_batches(docs.sparkSession)
+    signed = stored(_signed(docs, ["doc_id", "n"]))
+    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.select("first", F.col("first.n").alias("n"), "bands"))
+    dealt = nodes.select(F.explode("bands").alias("v"), "n")
+    several = dealt.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    shared = stored(dealt.join(several, "v"))
+    sets = stored(_sets(docs.select("n", "text").join(shared.select("n").distinct(), "n", "left_semi")))
+    roots = _joined(shared, sets)
+    if roots is None:
+        return nodes.select("n")
+    whole = nodes.join(roots, nodes.n == roots.node, "left").groupBy(F.coalesce("root", "n")).agg(F.min("first").alias("first"))
+    return whole.select(F.col("first.n").alias("n"))
