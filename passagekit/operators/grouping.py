@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ from passagekit.operators.components import components
 #: Masks of the bands: of five, four differing bits leave one as it is. Each takes every fifth
 #: bit, so that a run of bits that are the same everywhere does not make a band of its own.
 BANDS = tuple(sum(1 << b for b in range(i, 64, 5)) for i in range(5))
-#: Distinct hashes of a group that are named in one step.
-TOGETHER = 100_000
 
 
 def exact_dedupe(records: DataFrame, hash_col: str = "pixel_sha256", path_col: str = "path") -> DataFrame:
@@ -73,16 +74,29 @@ def leakage_groups(records: DataFrame, id_col: str = "id") -> DataFrame:
 
 def _names(members: DataFrame) -> DataFrame:
     """``(root, leakage_group)``: SHA-256 of a group's sorted distinct hashes, a line each.
-    Groups of more than ``TOGETHER`` hashes are folded in two steps, by the beginning of the
-    hash first, so that no task holds one whole."""
-    distinct = members.select("root", "pixel_sha256").distinct()
-    sizes = distinct.groupBy("root").agg(F.count("*").alias("n"))
-    large = distinct.join(sizes.where(F.col("n") > TOGETHER), "root", "left")
-    bucket = F.when(F.col("n").isNull(), "").otherwise(F.substring(F.sha2("pixel_sha256", 256), 1, 3))
-    folded = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    parts = large.groupBy("root", bucket.alias("bucket")).agg(folded("pixel_sha256").alias("h"))
-    whole = parts.groupBy("root").agg(F.max("bucket").alias("last"), F.first("h").alias("one"), folded(F.concat("bucket", "h")).alias("all"))
-    return whole.select("root", F.when(F.col("last") == "", F.col("one")).otherwise(F.col("all")).alias("leakage_group"))
+    The hashes pass the digest one by one in their order, so that no task holds a group whole."""
+    distinct = members.select("root", "pixel_sha256").where("root IS NOT NULL").distinct()
+    kind = members.schema["root"].dataType.simpleString()
+
+    def fold(batches):
+        root, digest, lines = None, None, 0
+        for batch in batches:
+            names, roots = [], []
+            for r, h in zip(batch["root"].to_pylist(), batch["pixel_sha256"].to_pylist(), strict=True):
+                if digest is None or r != root:
+                    if digest is not None:
+                        roots.append(root)
+                        names.append(digest.hexdigest())
+                    root, digest, lines = r, hashlib.sha256(), 0
+                if h is not None:
+                    digest.update(h.encode() if not lines else b"\n" + h.encode())
+                    lines += 1
+            yield pa.RecordBatch.from_arrays([pa.array(roots, batch.schema.field("root").type), pa.array(names, pa.string())], names=["root", "leakage_group"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([root], batch.schema.field("root").type), pa.array([digest.hexdigest()])], names=["root", "leakage_group"])
+
+    ordered = distinct.repartition("root").sortWithinPartitions("root", "pixel_sha256")
+    return ordered.mapInArrow(fold, f"root {kind}, leakage_group string")
 
 
 def conflicting_copies(records: DataFrame, hash_col: str = "pixel_sha256", value: str = "text") -> DataFrame:

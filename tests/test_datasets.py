@@ -93,6 +93,18 @@ def test_names_of_large_groups(spark, monkeypatch):
     assert large[2] == small[2] and large[1] != small[1] and len(large[1]) == 64
 
 
+def test_one_name_at_every_size(spark):
+    """Above 100 000 distinct hashes a group is named as below: by its sorted hashes."""
+    import hashlib
+
+    n = 100_500
+    members = spark.range(n + 50).selectExpr("1 AS root", f"concat('h', id % {n}) AS pixel_sha256")
+    more = spark.createDataFrame([(2, "b"), (2, "a"), (2, None), (3, None), (None, "x")], "root int, pixel_sha256 string")
+    got = {r.root: r.leakage_group for r in grouping._names(members.unionByName(more)).collect()}
+    named = lambda hashes: hashlib.sha256("\n".join(sorted(hashes)).encode()).hexdigest()
+    assert got == {1: named(f"h{i}" for i in range(n)), 2: named("ab"), 3: named([])}
+
+
 def test_row_filters(spark):
     box = "array<struct<text string>>"
     df = spark.createDataFrame([("a", [("x",)], True), ("b", [], None), ("c", [("x",), (None,)], False), ("d", [("",)], None)], f"image_path string, boxes {box}, full_image_labels_verified boolean")
