@@ -14,7 +14,7 @@ that follows (window, explosion into terms, broadcast join with the lexicon, col
 keeps that partitioning: texts are shuffled once.
 
 The lexicon cannot outgrow its broadcast: a term in band is in at least ``LOW`` of the
-texts, so there are at most (mean distinct terms of a text) / ``LOW`` of them. Beyond
+distinct texts, so there are at most (mean distinct terms of a text) / ``LOW`` of them. Beyond
 ``BROADCAST`` terms, in corpora of very long texts, a shuffled join takes its place.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from passagekit.llm.common import stored
 
-#: The band: shares of all texts that hold a term.
+#: The band: shares of all distinct texts that hold a term.
 LOW, HIGH = 0.001, 0.25
 #: Lexicon terms that are broadcast at most; characters of text in a range of ids.
 BROADCAST, RANGE_CHARS, RANGES = 400_000, 2 << 20, 1 << 16
@@ -46,9 +46,22 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``(h)``: XXH64 of each term whose share of the texts is in the band."""
-    n = docs.count()
-    each = docs.select(F.explode(terms(F.col(text_col))).alias("t")).select(F.xxhash64("t").alias("h"))
+    """``(h)``: XXH64 of each term whose share of the distinct texts is in the band.
+
+    Copies count once, so that a text that fills many rows does not push its terms out of
+    the band. Only texts whose hash occurs again are shuffled to tell copies apart.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    counts = stored(texts.groupBy(F.xxhash64("t").alias("k")).agg(F.count("*").alias("m")))
+    again = counts.where("m > 1").select("k")
+    few = again.count() <= BROADCAST
+    side = F.broadcast(again) if few else again
+    keyed = texts.withColumn("k", F.xxhash64("t"))
+    once = keyed.join(side, "k", "left_anti").select("t")
+    copied = stored(keyed.join(side, "k", "left_semi").select("t").distinct())
+    distinct = once.unionByName(copied)
+    n = counts.where("m = 1").count() + copied.count()
+    each = distinct.select(F.explode(terms(F.col("t"))).alias("t")).select(F.xxhash64("t").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df"))
     return df.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("h")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -74,3 +75,21 @@ def test_one_row_and_none(spark):
     assert M.fingerprints(spark.createDataFrame([], DOCS)).collect() == []
     many = spark.createDataFrame([(1, "a b c d")] * 40, DOCS)
     assert {(r.edited, r.near_next) for r in M.fingerprints(many).collect()} == {("a b a b", 1.0)}
+
+
+def test_copies_do_not_push_terms_out_of_band(spark):
+    """A text that fills a third of the rows still finds its edited copy."""
+    rng = random.Random(4)
+    texts = [" ".join(f"t{rng.randrange(60)}" for _ in range(12)) for _ in range(60)]
+    hot = texts[0]
+    near = " ".join(hot.split()[:-1])
+    rows = [(i, t) for i, t in enumerate([*texts[1:], *[hot] * 30, near, None, ""])]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    n = len({t or "" for _, t in rows})
+    df = Counter(x for t in {t or "" for _, t in rows} for x in terms(t))
+    lexicon = {t for t, m in df.items() if 0.02 * n <= m <= 0.25 * n}
+    got = {r.doc_id: r for r in M.fingerprints(docs, low=0.02).collect()}
+    for i, text in rows:
+        assert got[i].fingerprint == ":".join(signature(text or "", lexicon))
+    last = got[len(texts) - 1 + 29]
+    assert last.near_next == likeness(signature(hot, lexicon), signature(near, lexicon)) > 0.5
