@@ -7,16 +7,19 @@ mixture weights of each bucket of context frequency (powers of two) are learned
 expectation-maximisation; then scores use the counts of the whole.
 
 No text and no count is shuffled row by row. Texts are packed, where they are read, into
-blocks of bounded size; a block sends each of its distinct n-grams once, as a sorted slice
-of 64-bit numbers, to the shard of their range, so an n-gram that every text holds costs
-one number a block and shards are even whatever the words are. A shard answers each slice
-with totals in the same order; ordered by shard they line up with the block's own sorted
-n-grams, so that the answer needs no keys.
+blocks of bounded size. A block's distinct n-grams, uni- and bigrams together, are one sorted
+array of 64-bit numbers; it is cut at fixed ranges, and each range gets one slice of it, so an
+n-gram that every text holds costs one number a block, and ranges are even whatever the words
+are. A range answers each slice with totals in the slice's order, so answers need no keys.
+
+A range never takes the slices of more than ``FAN`` blocks. Where there are more blocks they
+are dealt to groups of that many; a group's slices of a range are merged, and the merged array
+is in turn a block that is cut at finer ranges, and so on: what a task holds is bounded by
+``FAN`` slices, and slices stay as large at any size of the corpus.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 from passagekit.llm import words
 from passagekit.llm.common import small_batches, stored
 
-#: Bytes of text in a block (one longer text is a block of its own); tokens a shard counts.
-BLOCK_BYTES, SHARD_TOKENS = 4 << 20, 1 << 21
-#: Kinds of texts: scored only, deleted from the counts while weights are learned, counted.
-HELD, DELETED, COUNTED = 0, 1, 2
+#: Bytes of text in a block (one longer text is a block of its own); tokens a range is meant
+#: to count where the corpus is small.
+BLOCK_BYTES, SHARD_TOKENS = 4 << 20, 1 << 19
+#: Bits by which ranges are cut at each level (at most); blocks whose slices meet in a range.
+CUT_BITS, FAN = 8, 512
+#: Kinds of texts: scored only, deleted from the counts while weights are learned, counted;
+#: and of slices merged from several.
+HELD, DELETED, COUNTED, MERGED = 0, 1, 2, 3
 #: Buckets of context frequency; steps per unit of log ratio in the learning histogram.
 BUCKETS, STEPS = 48, 8
 ROUNDS, FLOOR = 60, 1e-6
@@ -74,7 +81,7 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, kind: Column, block_bytes: int) -> DataFrame:
-    """Texts packed by kind: ``(block, kind, ids, sizes, tokens, payload)``."""
+    """Texts packed by kind: ``(kind, ids, sizes, tokens, payload)``."""
     types = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -85,7 +92,6 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, kind: Column, block_byt
             whole = b"".join(parts)
             _, _, sizes = tokens([p.decode("utf-8", "replace") for p in parts])
             row = {
-                "block": uuid.uuid4().hex,
                 "kind": which,
                 "ids": list(ids),
                 "sizes": [len(p) for p in parts],
@@ -96,7 +102,6 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, kind: Column, block_byt
 
         schema = pa.schema(
             [
-                ("block", pa.string()),
                 ("kind", pa.int32()),
                 ("ids", pa.list_(pa.string() if types == "string" else pa.int64())),
                 ("sizes", pa.list_(pa.int64())),
@@ -117,7 +122,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, kind: Column, block_byt
         for which in list(held):
             yield out(which)
 
-    schema = f"block string, kind int, ids array<{types}>, sizes array<bigint>, tokens bigint, payload binary"
+    schema = f"kind int, ids array<{types}>, sizes array<bigint>, tokens bigint, payload binary"
     return docs.select(id_col, text_col, kind.cast("int").alias("kind")).mapInArrow(run, schema)
 
 
@@ -128,65 +133,117 @@ def _texts(row: dict) -> list[str]:
 
 
 def _grams(row: dict):
-    """Of a block: sizes, and per order (unigrams with the start mark, bigrams) the sorted
-    distinct numbers, the place of each token's among them, and their counts."""
+    """Of a block: tokens per text; the block's sorted distinct n-grams and their counts; the
+    places among them of each token, of its context, and of both together.
+
+    Numbers of unigrams (the start mark is one) are even, those of bigrams odd.
+    """
     numbers, before, sizes = tokens(_texts(row))
-    one = np.unique(np.concatenate((numbers, np.full(len(sizes), START, np.uint64))), return_inverse=True, return_counts=True)
-    two = np.unique(pair(before, numbers), return_inverse=True, return_counts=True)
-    place = one[1][: len(numbers)]
-    context = np.concatenate(([0], place[:-1]))
-    context[np.cumsum(sizes) - sizes] = one[1][-1]
-    return sizes, place, context, two[1], (one[0], one[2]), (two[0], two[2])
+    n = len(numbers)
+    low = np.uint64(1)
+    every = np.concatenate((numbers & ~low, np.full(len(sizes), START & ~low, np.uint64), pair(before, numbers) | low))
+    keys, place, counts = np.unique(every, return_inverse=True, return_counts=True)
+    context = np.concatenate(([0], place[: n - 1]))
+    context[np.cumsum(sizes) - sizes] = place[n]
+    return sizes, keys, counts, place[:n], context, place[n + len(sizes) :]
+
+
+_SLICES = "shard bigint, block bigint, kind int, keys binary, n binary, kept binary"
+_TOTALS = "block bigint, shard bigint, kind int, types bigint, n binary, kept binary"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-_SLICES = "shard bigint, block string, kind int, keys1 binary, n1 binary, keys2 binary, n2 binary"
-_TOTALS = "block string, shard bigint, kind int, types bigint, all1 binary, all2 binary, kept1 binary, kept2 binary"
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
+
+
+def _cuts(keys: np.ndarray, bits: int, shard: int = 0, level: int = 0):
+    """``(range, start, stop)`` of the ranges that hold some of the sorted ``keys``, which
+    all agree with ``shard`` in their first ``level`` bits; ranges differ in ``bits`` more."""
+    if not bits:
+        return [(shard, 0, len(keys))] if len(keys) else []
+    edges = (np.uint64(shard) << np.uint64(bits)) + np.arange(1 << bits, dtype=np.uint64)
+    starts = np.searchsorted(keys, edges << np.uint64(64 - level - bits)).tolist() + [len(keys)]
+    return [(int(e), a, b) for e, a, b in zip(edges.tolist(), starts, starts[1:], strict=False) if b > a]
 
 
 def _slices(blocks: DataFrame, bits: int) -> DataFrame:
-    """A row per block and shard, with the block's distinct n-grams in the shard's range."""
+    """A row per block and range that the block's n-grams reach."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                *_, one, two = _grams(row)
-                out = []
-                shards = [(k >> np.uint64(64 - bits)) if bits else np.zeros(len(k), np.uint64) for k, _ in (one, two)]
-                cuts = [np.searchsorted(s, np.arange((1 << bits) + 1, dtype=np.uint64)) for s in shards]
-                for shard in np.unique(np.concatenate(shards)).tolist():
-                    cells = {"shard": shard, "block": row["block"], "kind": row["kind"]}
-                    for o, (keys, n) in (("1", one), ("2", two)):
-                        a, b = cuts[int(o) - 1][shard : shard + 2]
-                        cells["keys" + o] = _pack_sorted(keys[a:b])
-                        cells["n" + o] = _pack(n[a:b]) if row["kind"] != HELD else b""
-                    out.append(cells)
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema([("shard", pa.int64()), ("block", pa.string()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys1", "n1", "keys2", "n2"))])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                _, keys, counts, *_ = _grams(row)
+                n = counts if row["kind"] != HELD else counts[:0]
+                rows = [(r, row["block"], row["kind"], _pack_sorted(keys[a:b]), _pack(n[a:b]), b"") for r, a, b in _cuts(keys, bits)]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    schema = _arrow(_SLICES)
     return blocks.mapInArrow(run, _SLICES)
 
 
+def _merge(table: pa.Table):
+    """Of the slices of one range: ``(keys, n, kept, parts)``; the sorted distinct n-grams,
+    their counts in training texts and in those not deleted, and each slice's places."""
+    keys = [_unpack_sorted(k.as_py()) for k in table.column("keys")]
+    sizes = [len(k) for k in keys]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n, kept = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    ends = np.cumsum(sizes)
+    parts = [place[e - size : e] for e, size in zip(ends.tolist(), sizes, strict=True)]
+    for part, kind, own, stays in zip(parts, table.column("kind").to_pylist(), table.column("n"), table.column("kept"), strict=True):
+        if kind != HELD:  # a slice names an n-gram once, so plain indexing adds right
+            counts = _unpack(own.as_py()).astype(np.int64)
+            n[part] += counts
+            if kind == COUNTED:
+                kept[part] += counts
+            elif kind == MERGED:
+                kept[part] += _unpack(stays.as_py()).astype(np.int64)
+    return distinct, n, kept, parts
+
+
+def _answers(table: pa.Table, n: np.ndarray, kept: np.ndarray, parts: list, types: int) -> pa.Table:
+    kinds = table.column("kind").to_pylist()
+    cells = {
+        "block": table.column("block"),
+        "shard": table.column("shard"),
+        "kind": table.column("kind"),
+        "types": [types] + [0] * (len(kinds) - 1),
+        "n": [_pack(n[p]) for p in parts],
+        "kept": [_pack(kept[p]) if kind in (DELETED, MERGED) else b"" for p, kind in zip(parts, kinds, strict=True)],
+    }
+    return pa.table(cells, schema=_arrow(_TOTALS))
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of a shard's n-grams, for each slice in the slice's own order."""
-    kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
-    out = {"block": blocks, "shard": table.column("shard").to_pylist(), "kind": kinds, "types": [0] * len(blocks)}
-    for o in ("1", "2"):
-        keys = [_unpack_sorted(k.as_py()) for k in table.column("keys" + o)]
-        own = [_unpack(n.as_py()) if kind != HELD else np.zeros(len(k), np.uint64) for n, k, kind in zip(table.column("n" + o), keys, kinds, strict=True)]
-        sizes = [len(k) for k in keys]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        own = np.concatenate(own).astype(np.float64)
-        kept = own * np.repeat(np.array(kinds) == COUNTED, sizes)
-        all_, kept = (np.bincount(place, x, len(distinct)).astype(np.int64) for x in (own, kept))
-        if o == "1":
-            out["types"][0] = int(((all_ > 0) & (distinct != START)).sum())
-        ends = np.cumsum(sizes)
-        parts = [place[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        out["all" + o] = [_pack(all_[p]) for p in parts]
-        out["kept" + o] = [_pack(kept[p]) if kind == DELETED else b"" for p, kind in zip(parts, kinds, strict=True)]
-    names = ["block", "shard", "kind", "types", "all1", "all2", "kept1", "kept2"]
-    kinds_ = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table([pa.array(out[n], k) for n, k in zip(names, kinds_, strict=True)], names=names)
+    """Totals of a range's n-grams, for each slice in the slice's own order."""
+    keys, n, kept, parts = _merge(table)
+    types = int(((n > 0) & (keys & np.uint64(1) == 0) & (keys != START & ~np.uint64(1))).sum())
+    return _answers(table, n, kept, parts, types)
+
+
+def _totals(slices: DataFrame, blocks: int, level: int, fan: int, bits: int) -> DataFrame:
+    """Totals for every slice of ``blocks`` blocks, whose ranges are ``level`` bits long."""
+    if blocks <= fan or level + bits > 60:
+        return stored(slices.groupBy("shard").applyInArrow(_answer, _TOTALS))
+    groups = -(-blocks // max(1, fan // 2))  # dealt by a hash, so some are larger than half
+    dealt = stored(slices.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))))
+    schema = _arrow(_SLICES)
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        shard, g = (k.as_py() for k in key)
+        keys, n, kept, _ = _merge(table)
+        rows = [(r, g, MERGED, _pack_sorted(keys[a:b]), _pack(n[a:b]), _pack(kept[a:b])) for r, a, b in _cuts(keys, bits, shard, level)]
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    def back(table: pa.Table, deeper: pa.Table) -> pa.Table:
+        _, _, _, parts = _merge(table)
+        return _answers(table, _aligned(deeper, "n"), _aligned(deeper, "kept"), parts, sum(deeper.column("types").to_pylist()))
+
+    finer = _totals(dealt.groupBy("shard", "g").applyInArrow(merged, _SLICES), groups, level + bits, fan, bits)
+    finer = finer.select(F.shiftright("shard", bits).alias("of"), F.col("block").alias("g"), "shard", "types", "n", "kept")
+    return stored(dealt.groupBy("shard", "g").cogroup(finer.groupBy("of", "g")).applyInArrow(back, _TOTALS))
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -195,7 +252,7 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 def _aligned(totals: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([_unpack(v.as_py()) for v in totals.sort_by("shard").column(name)]).astype(np.float64)
+    return np.concatenate([_unpack(v.as_py()) for v in totals.sort_by("shard").column(name)]).astype(np.int64)
 
 
 def _evidence(n: float, types: int):
@@ -205,11 +262,11 @@ def _evidence(n: float, types: int):
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         rows = []
         for row in block.to_pylist():
-            _, place, context, two, *_ = _grams(row)
-            one, both = _aligned(totals, "kept1"), _aligned(totals, "kept2")
-            c = one[context]
+            _, _, _, place, context, two = _grams(row)
+            kept = _aligned(totals, "kept").astype(np.float64)
+            c = kept[context]
             step = lambda f: np.where(f > 0, np.rint(STEPS * np.log(np.maximum(f, 1e-300) / uniform)), -(1 << 20)).astype(np.int64)
-            q2, q1 = step(both[two] / np.maximum(c, 1)), step(one[place] / max(n, 1.0))
+            q2, q1 = step(kept[two] / np.maximum(c, 1)), step(kept[place] / max(n, 1.0))
             cells, count = np.unique(np.stack([_bucket(c), q2, q1]), axis=1, return_counts=True)
             rows.append((*cells, count))
         cols = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
@@ -265,11 +322,11 @@ def _scores(model: Model, id_col: str, id_type: pa.DataType):
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         parts = []
         for row in block.to_pylist():
-            sizes, place, context, two, *_ = _grams(row)
-            one, both = _aligned(totals, "all1"), _aligned(totals, "all2")
+            sizes, _, _, place, context, two = _grams(row)
+            n = _aligned(totals, "n").astype(np.float64)
             at = np.cumsum(sizes) - sizes
-            c = one[place]
-            sums = [np.add.reduceat(x, at) for x in (c > 0, model.base(c), model.log10(both[two], one[context], c))]
+            c = n[place]
+            sums = [np.add.reduceat(x, at) for x in (c > 0, model.base(c), model.log10(n[two], n[context], c))]
             parts.append((row["ids"], np.full(len(sizes), row["kind"]), sizes, sums[0].astype(np.int64), *sums[1:]))
         cols = list(zip(*parts, strict=True)) or [[[]]] * 6
         ids = pa.array([i for p in cols[0] for i in p], id_type)
@@ -288,6 +345,8 @@ def score(
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
     shard_tokens: int = SHARD_TOKENS,
+    fan: int = FAN,
+    cut_bits: int = CUT_BITS,
 ) -> tuple[DataFrame, Model]:
     """Scores of every text, and the model they come from.
 
@@ -301,22 +360,23 @@ def score(
     spark = docs.sparkSession
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = stored(_blocks(docs, id_col, text_col, kind, block_bytes))
-    small_batches(spark, 8)
-    sums = {r.kind: r.n or 0 for r in blocks.groupBy("kind").agg(F.sum("tokens").alias("n")).collect()}
+    packed = _blocks(docs, id_col, text_col, kind, block_bytes)
+    blocks = stored(packed.select(F.monotonically_increasing_id().alias("block"), "*"))
+    kinds = blocks.groupBy("kind").agg(F.sum("tokens").alias("n"), F.count("*").alias("blocks")).collect()
+    sums = {r.kind: r.n or 0 for r in kinds}
     n = sums.get(DELETED, 0) + sums.get(COUNTED, 0)
-    bits = max(0, int(np.ceil(np.log2(max(1, sum(sums.values()) / shard_tokens)))))
+    bits = min(cut_bits, max(0, int(np.ceil(np.log2(max(1, sum(sums.values()) / shard_tokens))))))
     sliced = _slices(blocks.select("block", "kind", "sizes", "payload"), bits)
-    totals = stored(sliced.groupBy("shard").applyInArrow(_answer, _TOTALS))
+    totals = _totals(sliced, sum(r.blocks for r in kinds), bits, fan, cut_bits)
     types = totals.agg(F.sum("types")).first()[0] or 0
 
-    deleted = [d.where(F.col("kind") == DELETED) for d in (blocks.select("block", "kind", "sizes", "payload"), totals.select("block", "kind", "shard", "kept1", "kept2"))]
+    deleted = [d.where(F.col("kind") == DELETED) for d in (blocks.select("block", "kind", "sizes", "payload"), totals.select("block", "kind", "shard", "kept"))]
     evidence = deleted[0].groupBy("block").cogroup(deleted[1].groupBy("block"))
     evidence = evidence.applyInArrow(_evidence(float(sums.get(COUNTED, 0)), types), "bucket bigint, q2 bigint, q1 bigint, n bigint")
     seen = evidence.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
     model = Model(interpolate(*(seen.column(c).to_numpy() for c in ("bucket", "q2", "q1", "n"))), n, types)
 
     run = _scores(model, id_col, pa.string() if id_type == "string" else pa.int64())
-    scored = blocks.drop("tokens").groupBy("block").cogroup(totals.select("block", "shard", "all1", "all2").groupBy("block"))
+    scored = blocks.drop("tokens").groupBy("block").cogroup(totals.select("block", "shard", "n").groupBy("block"))
     out = scored.applyInArrow(run, f"{id_col} {id_type}, kind int, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("bigint")), model

@@ -247,7 +247,6 @@ def links(distinct: DataFrame, forest=FOREST, leaf: int = LEAF, leaf_most: int =
         a, b = leaf_links(pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool))
         return pd.DataFrame({"a": a, "b": b})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.groupBy("tree", "leaf", "lo", "hi").applyInPandas(in_leaf, "a bigint, b bigint")
 
 

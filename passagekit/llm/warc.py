@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from passagekit.llm.common import shared_dir, small_batches, stored
 
-#: Payload bytes in a row; rows in a batch; payload bytes after which a new archive begins.
-CHUNK, BATCH, ARCHIVE = 1 << 20, 64, 256 << 20
+#: Payload bytes in a row; payload bytes after which a new archive begins.
+CHUNK, ARCHIVE = 1 << 20, 256 << 20
 #: Compression of the archives; each record is a gzip member of its own.
 LEVEL = 1
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -144,7 +144,7 @@ def write(chunks: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
             yield done()
 
     manifest = pa.schema([("path", pa.string()), ("records", pa.int64()), ("payload_bytes", pa.int64())])
-    small_batches(chunks.sparkSession, BATCH)
+    small_batches(chunks.sparkSession)
     return stored(chunks.mapInArrow(run, "path string, records bigint, payload_bytes bigint"))
 
 
@@ -211,7 +211,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, chunk: int = CHU
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    small_batches(spark, BATCH)
+    small_batches(spark)
     return manifest.select("path").repartition(n).mapInArrow(run, CHUNKS)
 
 

@@ -52,13 +52,13 @@ def corpus(seed=1, n=120):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20), (700, 300)])
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20, 512, 8), (700, 300, 512, 8), (300, 300, 4, 2), (300, 1 << 20, 6, 3)])
 def test_scores_match_counting_by_hand(spark, sizes):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, k int, score string").repartition(3)
     from pyspark.sql import functions as F
 
-    out, model = lm.score(docs, F.expr(KIND), block_bytes=sizes[0], shard_tokens=sizes[1])
+    out, model = lm.score(docs, F.expr(KIND), block_bytes=sizes[0], shard_tokens=sizes[1], fan=sizes[2], cut_bits=sizes[3])
     got = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out.collect()], key=str)
     want = sorted(brute(rows, model), key=str)
     assert [g[:4] for g in got] == [w[:4] for w in want]
