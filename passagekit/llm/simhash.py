@@ -19,16 +19,27 @@ pair within r_i on its bits:
 A leaf whose rows cannot be told apart by masked distance and that is larger than
 ``LEAF_MOST`` is dealt to several tasks as pairs of blocks: no pair is lost, no task
 is unbounded. A task returns a star per linked set it has seen (never all pairs), and
-`components` joins the stars.
+`components` joins the stars. The masks follow the number of fingerprints: the more there
+are, the fewer and wider, so that leaves can go on shrinking.
+
+`similar_groups` links by similarity instead of bits: texts whose sets of shingles have a
+Jaccard similarity of ``SIMILARITY`` or more. At 0.8 two fingerprints differ in about 15 % of
+their bits, far beyond a radius that prunes, so there the trees stand on random masks with
+radius 0 (their shards don't overlap), as many of them as let a pair at the bound share a
+leaf of some tree with a probability of ``1 - MISS``; a leaf's rows are compared on 128 bits,
+and every candidate is verified on its shingles before it links.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import add_columns, small_batches, stored
@@ -36,14 +47,28 @@ from passagekit.operators.components import components
 
 #: Words in a shingle; seed of the hash; most differing bits of a link.
 WORDS, SEED, BITS = 4, 42, 4
-#: Bits of each tree's mask and its radius; sum(radius + 1) must be BITS + 1.
-FOREST = ((22, 1), (14, 0), (14, 0), (14, 0))
+#: Forests (bits of each tree's mask and its radius; sum(radius + 1) must be BITS + 1), each
+#: for up to so many distinct fingerprints. A mask of radius 0 tells no more than 2 ** bits
+#: values apart, and boundaries of a larger radius cost more rows, so the next begins where
+#: the leaves of the one before could no longer be small.
+FORESTS = (
+    (1 << 24, ((22, 1), (14, 0), (14, 0), (14, 0))),
+    (1 << 31, ((22, 1), (21, 1), (21, 0))),
+    (1 << 63, ((32, 2), (32, 1))),
+)
 #: Rows a leaf is meant to hold, and beyond which it is dealt out as pairs of blocks.
 LEAF, LEAF_MOST = 2048, 16384
 #: About how many distinct fingerprints the trees are built of (every one is indexed).
 SAMPLE = 1 << 16
 #: Shingles hashed at once, which bounds memory for very long texts.
 PIECE = 1 << 15
+#: Least similarity of shingles of a link; words of a wide fingerprint (columns of its table);
+#: most likely share of pairs at the bound that no tree brings together.
+SIMILARITY, WIDE, MISS = Fraction(4, 5), 2, 0.005
+WORDS_WIDE = tuple(f"w{w}" for w in range(WIDE))
+#: Candidates a row returns in the first round and in each later one; verified pairs of one
+#: text in a task; rows of a small table that are broadcast at most.
+WIDTHS, SHARE, FEW = (1, 64), 512, 500_000
 
 
 def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -138,8 +163,14 @@ class Tree:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, leaves, homes))
 
 
-def plant(sample: np.ndarray, total: int, forest=FOREST, leaf: int = LEAF) -> list[Tree]:
+def forest_for(total: int):
+    """Masks and radii for ``total`` distinct fingerprints."""
+    return next(forest for most, forest in FORESTS if total <= most)
+
+
+def plant(sample: np.ndarray, total: int, forest=None, leaf: int = LEAF) -> list[Tree]:
     """The trees for ``total`` distinct fingerprints, built of a sample of them."""
+    forest = forest or forest_for(total)
     if sum(bits for bits, _ in forest) != 64 or sum(r + 1 for _, r in forest) != BITS + 1:
         raise ValueError("masks must share out 64 bits, and radii + 1 sum to the bits of a link + 1")
     rng, at, trees = np.random.default_rng(1), 0, []
@@ -200,7 +231,17 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, most: int = BITS):
     return fp[root[other]], fp[other]
 
 
-def links(distinct: DataFrame, forest=FOREST, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
+def _pairs_of_blocks(placed: DataFrame, leaf_most: int) -> DataFrame:
+    """``placed`` with ``lo`` and ``hi``: leaves too large for one task are dealt to blocks by
+    a hash, and each row goes to all pairs of blocks that its own is in."""
+    large = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / leaf_most).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = placed.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*placed.columns, F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+
+
+def links(distinct: DataFrame, forest=None, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs within ``BITS`` bits.
 
     ``distinct(fp)`` holds distinct signed fingerprints.
@@ -229,19 +270,7 @@ def links(distinct: DataFrame, forest=FOREST, leaf: int = LEAF, leaf_most: int =
                     )
 
     placed = distinct.select("fp").mapInArrow(place, "tree int, leaf int, fp bigint, home boolean")
-    # Leaves too large for one task: their number is bounded by the trees' leaves.
-    large = {
-        (r.tree, r.leaf): -(-r.n // leaf_most)
-        for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_most).collect()
-    }
-    block, other = F.lit(0), F.array(F.lit(0))
-    for (t, k), blocks in large.items():
-        here = (F.col("tree") == t) & (F.col("leaf") == k)
-        own = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
-        block = F.when(here, own).otherwise(block)
-        other = F.when(here, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(other)
-    dealt = placed.withColumn("own", block).withColumn("with", F.explode(other))
-    dealt = dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
+    dealt = _pairs_of_blocks(stored(placed), leaf_most)
 
     def in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = leaf_links(pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool))
@@ -265,9 +294,238 @@ def near_duplicates(
     marked = stored(fingerprints(docs, [id_col], text_col, words))
     first = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
     rooted = stored(components(links(first)))
-    of = first.join(rooted, first.fp == rooted.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = of.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    label = of.join(least, "root").select("fp", "component_id")
+    of = first.join(rooted, first.fp == rooted.node, "left").select("fp", "first", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "fp").alias("root"))
+    least = _counted(stored(of.where("linked").groupBy("root").agg(F.min("first").alias("least"))))
+    label = of.join(least, "root", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     return marked.join(label, "fp").select(id_col, "fp", "component_id")
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """``df``, stored, as a broadcast where it has few rows, so that a group that most rows
+    belong to is not dealt to one task; beyond that joins are shuffled."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+# --- Links by similarity -----------------------------------------------------------------
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    width, n = min(words, len(tokens)), max(1, len(tokens) - words + 1)
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    return np.unique(_mixed(out))
+
+
+def wide(of: np.ndarray) -> list[int]:
+    """The SimHash of a set of shingles in ``WIDE`` words of 64 bits."""
+    out = []
+    for word in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(of), PIECE):
+            h = _mixed(of[at : at + PIECE] + np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(of), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def differing(similarity: Fraction) -> float:
+    """The share of bits in which fingerprints of sets of this similarity differ."""
+    return math.acos(float(2 * similarity / (1 + similarity))) / math.pi
+
+
+def plant_wide(sample: np.ndarray, total: int, similarity: Fraction, leaf: int = LEAF, miss: float = MISS) -> list[tuple[int, Tree]]:
+    """Trees, each with the word it looks at, of ``sample`` (rows of ``WIDE`` words)."""
+    rng, weight = np.random.default_rng(2), max(1.0, total / max(1, len(sample)))
+    bits = min(64, math.ceil(math.log2(total / leaf)) + 1) if total > leaf else 0
+    together = (1 - differing(similarity)) ** bits
+    count = math.ceil(math.log(miss) / math.log(1 - together)) if together < 1 else 1
+    trees = []
+    for t in range(count):
+        mask = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+        trees.append((t % WIDE, Tree(np.unique(sample[:, t % WIDE]), mask, 0, weight, leaf, rng)))
+    return trees
+
+
+def leaf_candidates(pdf: pd.DataFrame, most: int, start: int, stop: int) -> pd.DataFrame:
+    """Pairs ``(a, b)`` of a leaf's rows within ``most`` bits and of different roots.
+
+    A row's candidates have an order (by a hash, the same for all rows, so that those who
+    have many begin with the same one); it returns those at places ``start`` to ``stop``, and
+    itself as a pair if it has more.
+    """
+    order = np.argsort(_mixed(pdf["n"].to_numpy(np.int64).view(np.uint64)), kind="stable")
+    n, root = (pdf[c].to_numpy(np.int64)[order] for c in ("n", "root"))
+    word = [pdf[f"w{w}"].to_numpy(np.int64).view(np.uint64)[order] for w in range(WIDE)]
+    out, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 21) // max(1, len(n)))
+    if (root == root[:1]).all():
+        return pd.DataFrame({"a": n[:0], "b": n[:0]})
+    for at in range(0, len(n), step):
+        d = sum(np.bitwise_count(w[at : at + step, None] ^ w[None, :]) for w in word)
+        i, j = np.nonzero(d <= most)
+        i = i + at
+        i, j = i[i != j], j[i != j]
+        first = np.searchsorted(i, i)
+        place = np.arange(len(i)) - first
+        apart = root[i] != root[j]
+        now = apart & (place >= start) & (place < stop)
+        more = np.unique(i[apart & (place >= stop)])
+        out += [np.stack([n[i[now]], n[j[now]]]), np.stack([n[more], n[more]])]
+    a, b = np.concatenate(out, axis=1)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def similar(a: bytes, b: bytes, similarity: Fraction) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return similarity.denominator * both >= similarity.numerator * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """``(a, b, ok)`` of distinct ``pairs``. An ``a`` of many pairs is dealt to several tasks."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sa", "sb")]
+            ok = [similar(x, y, similarity) for x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts")).where("parts > 1")
+    part: Column = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(many, "a", "left").select("a", "b", part.alias("part"))
+    left = sets.select(F.col("n").alias("a"), F.col("s").alias("sa")).join(many, "a", "left")
+    left = left.select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    right = sets.select(F.col("n").alias("b"), F.col("s").alias("sb"))
+    return dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+
+
+def _cells(placed: DataFrame, roots: DataFrame | None, leaf_most: int) -> DataFrame:
+    """``placed (tree, leaf, n, w0, w1)`` with ``lo`` and ``hi``, the cells a row is compared in.
+
+    A leaf of up to ``leaf_most`` rows is one cell. A larger one is dealt to blocks; at first
+    (no ``roots``) rows meet those of their own block only. Then the rows of the leaf's most
+    frequent root need not meet each other: they stay in a block each, and all others go to
+    every block and to all pairs of blocks of their own. So what a large group of copies
+    costs grows with its size and not with the square of it.
+    """
+    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("m")).where(F.col("m") > leaf_most)
+    if roots is None:
+        dealt = placed.join(sizes, ["tree", "leaf"], "left")
+        own = F.pmod(F.xxhash64("n"), F.coalesce(F.ceil(F.col("m") / leaf_most), F.lit(1)))
+        return dealt.select(*placed.columns, own.cast("int").alias("lo"), own.cast("int").alias("hi"))
+    rooted = placed.join(roots, placed.n == roots.node, "left").select(*placed.columns, F.coalesce("root", "n").alias("c"))
+    each = rooted.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", "c").agg(F.count("*").alias("k"), F.first("m").alias("m"))
+    top = each.groupBy("tree", "leaf").agg(F.max(F.struct("k", "c")).alias("top"), F.first("m").alias("m"))
+    blocks = lambda c: F.ceil(c / leaf_most).cast("int")
+    top = top.select("tree", "leaf", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mains"), blocks(F.col("m") - F.col("top.k")).alias("others"))
+    dealt = rooted.join(top, ["tree", "leaf"], "left").withColumn("h", F.xxhash64("n"))
+    mine, ours = (F.pmod("h", F.greatest(F.col(c), F.lit(1))).cast("int") for c in ("others", "mains"))
+    cell = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("others"), F.lit(1)) - 1), lambda w: cell(F.least(mine, w), F.greatest(mine, w)))
+    mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda w: cell(F.lit(-1), w))
+    at = F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0)))).when(F.col("c") == F.col("main"), F.array(cell(F.lit(-1), ours))).otherwise(F.concat(pairs, mains))
+    return dealt.select(*placed.columns, F.explode(at).alias("at")).select(*placed.columns, "at.lo", "at.hi")
+
+
+def _joined(nodes: DataFrame, sets_of, similarity: Fraction, leaf: int, leaf_most: int, miss: float) -> DataFrame | None:
+    """``(node, root)`` of all ``nodes (n, w0, w1)`` that are linked to another one."""
+    spark, total = nodes.sparkSession, nodes.count()
+    part = nodes.where(F.pmod(F.xxhash64("n"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
+    sample = part.select(*WORDS_WIDE).toPandas().to_numpy(np.int64).reshape(-1, WIDE).view(np.uint64)
+    trees = spark.sparkContext.broadcast(plant_wide(sample, total, similarity, leaf, miss))
+    p = differing(similarity)
+    most = math.ceil(64 * WIDE * p + 3.5 * math.sqrt(64 * WIDE * p * (1 - p)))
+
+    def place(batches):
+        for batch in batches:
+            values = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", *WORDS_WIDE)]
+            for t, (word, tree) in enumerate(trees.value):
+                row, at, _ = tree.route(values[1 + word].view(np.uint64))
+                if len(row):
+                    cells = [np.full(len(row), t, np.int32), at.astype(np.int32), *(v[row] for v in values)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["tree", "leaf", "n", *WORDS_WIDE])
+
+    placed = nodes.mapInArrow(place, "tree int, leaf int, n bigint, " + ", ".join(f"{w} bigint" for w in WORDS_WIDE))
+
+    def candidates(cells: DataFrame, roots: DataFrame | None, start: int, stop: int) -> DataFrame:
+        rows = cells.withColumn("root", F.col("n")) if roots is None else cells.join(_counted(roots), cells.n == roots.node, "left").select(*cells.columns, F.coalesce("root", "n").alias("root"))
+        find = lambda pdf: leaf_candidates(pdf, most, start, stop)
+        return stored(rows.groupBy("tree", "leaf", "lo", "hi").applyInPandas(find, "a bigint, b bigint").distinct())
+
+    # First one candidate a row; rows that have none anywhere are done, and so are most others.
+    placed = stored(placed)
+    found = candidates(_cells(placed, None, leaf_most), None, 0, 1)
+    ends = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("m")).where(F.col("m") > leaf_most)
+    active = stored(ends.unionByName(placed.join(large, ["tree", "leaf"], "left_semi").select("n")).distinct())
+    if active.isEmpty():
+        return None
+    sets = stored(sets_of(active))
+    seen = roots = cells = None
+    start, stop = 0, WIDTHS[0]
+    while True:
+        pairs = found.where("a <> b")
+        if seen is not None:
+            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        new = stored(_verified(stored(pairs), sets, similarity))
+        seen = new if seen is None else seen.unionByName(new)
+        if not new.where("ok").isEmpty():
+            roots = stored(components(seen.where("ok").select("a", "b")))
+        if cells is None:
+            cells = stored(_cells(placed.join(active, "n", "left_semi"), roots if roots is not None else spark.createDataFrame([], "node bigint, root bigint"), leaf_most))
+        elif found.where("a = b").isEmpty():
+            return roots
+        else:
+            start, stop = stop, stop + WIDTHS[1]
+        found = candidates(cells, roots, start, stop)
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, similarity: Fraction = SIMILARITY, leaf: int = LEAF, leaf_most: int = LEAF_MOST, miss: float = MISS) -> DataFrame:
+    """``n`` of the row of least ``(doc_id, n)`` in each group of near copies of ``docs(doc_id,
+    n, text)``; ``n`` numbers the rows (it must not change when the table is read again).
+
+    Linked are texts whose sets of ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more; groups are what links reach. Texts of equal words are one node
+    from the start, so a group of copies of any size costs one row; texts without words are
+    copies of each other. Whole texts count, however long. Null ids count as least, repeated
+    rows are copies; an empty table gives an empty result; extra columns are ignored.
+
+    Every link is exact. A pair at the bound is found with a probability of ``1 - miss`` or
+    more, more similar ones more surely; up to ``leaf`` texts all pairs are compared.
+    """
+    small_batches(docs.sparkSession)
+
+    def sign(texts):
+        tokens = [words_of(t) for t in texts]
+        keys = [xxhash.xxh128_digest(b" ".join(t)) for t in tokens]
+        prints = np.array([wide(shingles(t, words)) for t in tokens], np.int64).reshape(-1, WIDE)
+        return [pa.array(keys, pa.binary()), *(pa.array(prints[:, w]) for w in range(WIDE))]
+
+    def shingled(texts):
+        return [pa.array([shingles(words_of(t), words).tobytes() for t in texts], pa.binary())]
+
+    signed = stored(add_columns(docs, "text", lambda: sign, "key binary, " + ", ".join(f"{w} bigint" for w in WORDS_WIDE), ["doc_id", "n"]))
+    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), *(F.first(w).alias(w) for w in WORDS_WIDE))
+    nodes = stored(nodes.select("first", F.col("first.n").alias("n"), *WORDS_WIDE))
+    sets_of = lambda ns: add_columns(docs.select("n", "text").join(ns, "n", "left_semi"), "text", lambda: shingled, "s binary", ["n"])
+    roots = _joined(nodes.select("n", *WORDS_WIDE), sets_of, similarity, leaf, leaf_most, miss)
+    if roots is None:
+        return nodes.select("n")
+    # Of each group all but the node of least (doc_id, n) go.
+    grouped = stored(nodes.join(_counted(roots), nodes.n == roots.node).select("n", "first", "root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
+    return nodes.select("n").join(grouped.select("n"), "n", "left_anti").unionByName(least)

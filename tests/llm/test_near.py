@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as C
-from passagekit.llm import near as N
+from passagekit.llm import simhash as S
 
 COLUMNS = "doc_id bigint, text string, lang string"
 
@@ -56,15 +59,37 @@ def test_stage_keeps_the_least_of_each_group(spark):
 
 def test_similarity_is_exact_at_the_bound():
     words = [f"w{i}" for i in range(60)]
-    sets = [N.shingles([w.encode() for w in words[:n]]) for n in (60, 49, 48)]
+    sets = [S.shingles([w.encode() for w in words[:n]], 5) for n in (60, 49, 48)]
     assert [len(s) for s in sets] == [56, 45, 44]
-    assert N.similar(sets[0].tobytes(), sets[1].tobytes()) and not N.similar(sets[0].tobytes(), sets[2].tobytes())
-
-
-def test_candidates_at_the_bound():
-    """Pairs at a similarity just above 0.8 share a band."""
-    rng, found = random.Random(1), 0
-    for _ in range(400):
-        words = [f"w{rng.randrange(1 << 40)}".encode() for _ in range(64)]
-        found += bool(set(N.bands(N.shingles(words)).tolist()) & set(N.bands(N.shingles(words[:53])).tolist()))
-    assert found == 400
+    alike = lambda a, b: S.similar(a.tobytes(), b.tobytes(), S.SIMILARITY)
+    assert alike(sets[0], sets[1]) and not alike(sets[0], sets[2])
+
+
+def test_wide_fingerprint_matches_plain():
+    for n in (1, 4, 60, 3 * S.PIECE // 2):
+        of = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        for w, got in enumerate(S.wide(of)):
+            hashes = S._mixed(of + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > n)
+            assert got & (1 << 64) - 1 == want
+
+
+@pytest.mark.parametrize("leaf_most", [1 << 14, 40])
+def test_recall_of_small_leaves(spark, leaf_most):
+    """Pairs just above the bound among many other texts, with leaves far smaller than the
+    table; a group of copies larger than a leaf may hold."""
+    rng = random.Random(1)
+    rows, pairs = [], 300
+    for i in range(pairs):
+        words = [f"w{rng.randrange(1 << 40)}" for _ in range(64)]
+        rows += [" ".join(words), " ".join(words[:53])]
+    base = [f"w{rng.randrange(1 << 40)}" for _ in range(200)]
+    for i in range(150):
+        rows.append(" ".join([*base[: i + 1], "x", *base[i + 2 :]]))
+    rows += [" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(30)) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "doc_id bigint, n bigint, text string")
+    kept = {r.n for r in S.first_of_groups(docs, leaf=24, leaf_most=leaf_most).collect()}
+    assert all(2 * i in kept for i in range(pairs))
+    assert sum(2 * i + 1 not in kept for i in range(pairs)) >= 0.98 * pairs
+    assert kept & set(range(2 * pairs, 2 * pairs + 150)) == {2 * pairs}
+    assert len(kept) <= 1.02 * pairs + 1 + 1500 and set(range(2 * pairs + 150, len(rows))) <= kept

@@ -11,8 +11,7 @@ import corpus_pipeline as C
 from passagekit.llm import bpe, langid, quality
 from passagekit.llm.common import remainder, stored
 from tests.llm.test_decontaminate import brute as windows
-from tests.llm.test_simhash import brute as linked
-from tests.llm.test_simhash import plain
+from tests.llm.test_near import brute as linked
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, items string, fp string"
 
@@ -65,7 +64,7 @@ def test_stages_against_plain_versions(spark, folder):
         elif name == "near_dedup":
             order = sorted(range(len(before)), key=lambda i: (before[i][0] is not None, before[i][0] or 0))
             rows = [before[i] for i in order]
-            root = linked([plain(r[1]) for r in rows])
+            root = linked([r[1] for r in rows])
             want = [r for i, r in enumerate(rows) if root[i] == i]
             assert len(want) < len(rows)
         else:

@@ -57,7 +57,7 @@ def joined(fps, stars):
 
 
 def test_forest_is_exact_for_any_radii():
-    for forest in (S.FOREST, ((64, 4),), ((32, 2), (32, 1)), ((13, 0), (13, 0), (13, 0), (13, 0), (12, 0)), ((22, 1), (22, 1), (20, 0))):
+    for forest in (*(f for _, f in S.FORESTS), ((64, 4),), ((13, 0), (13, 0), (13, 0), (13, 0), (12, 0)), ((22, 1), (22, 1), (20, 0))):
         for seed in range(3):
             fps = points(seed)
             stars = []
