@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, langid, near, quality
+from passagekit.llm import bpe, decontaminate, langid, quality, simhash
 from passagekit.llm.common import read, remainder, stored
 
 #: A text goes if its language is unknown or less likely than this, or its quality lower.
@@ -47,11 +47,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays.
 
     Linked are texts whose five-word shingles have a similarity of 0.8 or more. Rows are told
-    apart by their number in the table just read, also where ids repeat or are null (null ids
-    count as least).
+    apart by their number, also where ids repeat or are null (null ids count as least); the
+    numbered table is written, as numbers depend on how a table is dealt to tasks.
     """
-    numbered = _apart(docs).withColumn("n", F.monotonically_increasing_id())
-    first = near.first_of_groups(numbered.select("doc_id", "n", "text"))
+    numbered = stored(_apart(docs).withColumn("n", F.monotonically_increasing_id()))
+    first = simhash.first_of_groups(numbered.select("doc_id", "n", "text"))
     return _together(numbered.join(first, "n", "left_semi"), docs)
 
 
