@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from passagekit.plans.shared import stored
 
+#: Edges whose nodes' least neighbours are broadcast at most (two nodes of 8 to 64 bytes each).
+FEW = 250_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, side) -> DataFrame:
     """Every larger neighbour of a node is hung on the least of the node's neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return (
-        both.join(least, "a")
+        both.join(side(least), "a")
         .where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m")))
         .select(F.col("m").alias("a"), "b")
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, side) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are hung on the least of them.
 
     Edges are stored as (a < b), so the smaller neighbours of b are its a's.
     """
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    hung = edges.join(least, "b")
+    hung = edges.join(side(least), "b")
     return (
         hung.select(F.col("m").alias("a"), F.col("a").alias("b"))
         .unionByName(least.select(F.col("m").alias("a"), "b"))
@@ -38,9 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges(a, b)`` of one orderable type, self loops and repeats allowed. Returns
     ``(node, root)`` for every node that has an edge to another one. A round is two
-    aggregations with map-side minima and two joins whose skew can be split; rounds
-    grow with the logarithm of a component's size. No edge reaches the driver: only
-    two figures per round do, to see whether anything changed.
+    aggregations with map-side minima and two joins; where edges are few (they are counted)
+    the minima are broadcast, so that a hub that most edges lead to is not one task's, and
+    beyond that the joins' skew can be split. Rounds grow with the logarithm of a component's
+    size. No edge reaches the driver: only two figures per round do, to see whether anything
+    changed. An empty table gives an empty result; null ends are no nodes.
     """
     edges = stored(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -51,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges)).distinct())
+        side = F.broadcast if before[0] <= FEW else (lambda least: least)
+        edges = stored(_small_star(_large_star(edges, side), side).distinct())
         after = state(edges)
         if after == before:
             break
