@@ -22,12 +22,13 @@ is unbounded. A task returns a star per linked set it has seen (never all pairs)
 `components` joins the stars. The masks follow the number of fingerprints: the more there
 are, the fewer and wider, so that leaves can go on shrinking.
 
-`similar_groups` links by similarity instead of bits: texts whose sets of shingles have a
+`later_of_groups` links by similarity instead of bits: texts whose sets of shingles have a
 Jaccard similarity of ``SIMILARITY`` or more. At 0.8 two fingerprints differ in about 15 % of
 their bits, far beyond a radius that prunes, so there the trees stand on random masks with
 radius 0 (their shards don't overlap), as many of them as let a pair at the bound share a
-leaf of some tree with a probability of ``1 - MISS``; a leaf's rows are compared on 128 bits,
-and every candidate is verified on its shingles before it links.
+leaf of some tree with a probability of ``1 - MISS``. A leaf's rows are compared on all bits
+of a wider fingerprint; what that joins is a group of candidates, and within a group all
+pairs are decided on the shingles themselves, each text being sent there once.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import add_columns, small_batches, stored
@@ -63,12 +64,12 @@ SAMPLE = 1 << 16
 #: Shingles hashed at once, which bounds memory for very long texts.
 PIECE = 1 << 15
 #: Least similarity of shingles of a link; words of a wide fingerprint (columns of its table);
-#: most likely share of pairs at the bound that no tree brings together.
-SIMILARITY, WIDE, MISS = Fraction(4, 5), 2, 0.005
+#: share of pairs at the bound that no tree brings together, at most.
+SIMILARITY, WIDE, MISS = Fraction(4, 5), 4, 0.01
 WORDS_WIDE = tuple(f"w{w}" for w in range(WIDE))
-#: Candidates a row returns in the first round and in each later one; verified pairs of one
-#: text in a task; rows of a small table that are broadcast at most.
-WIDTHS, SHARE, FEW = (1, 64), 512, 500_000
+#: Texts and bytes of shingles that are compared in one task; texts of a larger group of
+#: candidates that every one of its tasks gets at first; rows that are broadcast at most.
+CELL, CELL_BYTES, PIVOTS, FEW = 1024, 16 << 20, 32, 200_000
 
 
 def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -200,17 +201,14 @@ def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         root = new
 
 
-def leaf_links(fp: np.ndarray, home: np.ndarray, most: int = BITS):
-    """Stars (least, other) over the fingerprints of a leaf that are linked there.
+def _joined_rows(words: list[np.ndarray], home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (least, other) of row numbers over the rows within ``most`` bits of each other.
 
-    Memory: blocks of about four million comparisons; of the links found, only what
-    still joins two sets is kept.
+    ``words``: the fingerprints' 64-bit words, a column each. Memory: blocks of about four
+    million comparisons; of the links found, only what still joins two sets is kept.
     """
-    order = np.argsort(fp, kind="stable")
-    fp, home = fp[order], home[order]
-    points = fp.view(np.uint64) if fp.dtype == np.int64 else fp
     queries = np.flatnonzero(home)
-    n, step = len(points), max(1, (1 << 22) // max(1, len(points)))
+    n, step = len(home), max(1, (1 << 22) // max(1, len(home)))
     root, pairs, held = np.arange(n), [], 0
 
     def fold():
@@ -218,7 +216,12 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, most: int = BITS):
 
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[None, :]) <= most)
+        near = np.bitwise_count(words[0][q][:, None] ^ words[0][None, :])
+        if len(words) > 1:
+            near = near.astype(np.uint16)
+            for w in words[1:]:
+                near += np.bitwise_count(w[q][:, None] ^ w[None, :])
+        i, j = np.nonzero(near <= most)
         i = q[i]
         keep = root[i] != root[j]
         if keep.any():
@@ -228,15 +231,23 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, most: int = BITS):
             root, pairs, held = fold(), [], 0
     root = fold()
     other = np.flatnonzero(root != np.arange(n))
-    return fp[root[other]], fp[other]
+    return root[other], other
+
+
+def leaf_links(fp: np.ndarray, home: np.ndarray, most: int = BITS):
+    """Stars (least, other) over the fingerprints of a leaf that are linked there."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    a, b = _joined_rows([fp.view(np.uint64)], home[order], most)
+    return fp[a], fp[b]
 
 
-def _pairs_of_blocks(placed: DataFrame, leaf_most: int) -> DataFrame:
+def _pairs_of_blocks(placed: DataFrame, leaf_most: int, id_col: str = "fp") -> DataFrame:
     """``placed`` with ``lo`` and ``hi``: leaves too large for one task are dealt to blocks by
     a hash, and each row goes to all pairs of blocks that its own is in."""
     large = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / leaf_most).cast("int").alias("blocks")).where("blocks > 1")
     dealt = placed.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(*placed.columns, F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
 
@@ -270,7 +281,7 @@ def links(distinct: DataFrame, forest=None, leaf: int = LEAF, leaf_most: int = L
                     )
 
     placed = distinct.select("fp").mapInArrow(place, "tree int, leaf int, fp bigint, home boolean")
-    dealt = _pairs_of_blocks(stored(placed), leaf_most)
+    dealt = _pairs_of_blocks(placed, leaf_most)
 
     def in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = leaf_links(pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool))
@@ -361,94 +372,14 @@ def plant_wide(sample: np.ndarray, total: int, similarity: Fraction, leaf: int =
     return trees
 
 
-def leaf_candidates(pdf: pd.DataFrame, most: int, start: int, stop: int) -> pd.DataFrame:
-    """Pairs ``(a, b)`` of a leaf's rows within ``most`` bits and of different roots.
-
-    A row's candidates have an order (by a hash, the same for all rows, so that those who
-    have many begin with the same one); it returns those at places ``start`` to ``stop``, and
-    itself as a pair if it has more.
-    """
-    order = np.argsort(_mixed(pdf["n"].to_numpy(np.int64).view(np.uint64)), kind="stable")
-    n, root = (pdf[c].to_numpy(np.int64)[order] for c in ("n", "root"))
-    word = [pdf[f"w{w}"].to_numpy(np.int64).view(np.uint64)[order] for w in range(WIDE)]
-    out, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 21) // max(1, len(n)))
-    if (root == root[:1]).all():
-        return pd.DataFrame({"a": n[:0], "b": n[:0]})
-    for at in range(0, len(n), step):
-        d = sum(np.bitwise_count(w[at : at + step, None] ^ w[None, :]) for w in word)
-        i, j = np.nonzero(d <= most)
-        i = i + at
-        i, j = i[i != j], j[i != j]
-        first = np.searchsorted(i, i)
-        place = np.arange(len(i)) - first
-        apart = root[i] != root[j]
-        now = apart & (place >= start) & (place < stop)
-        more = np.unique(i[apart & (place >= stop)])
-        out += [np.stack([n[i[now]], n[j[now]]]), np.stack([n[more], n[more]])]
-    a, b = np.concatenate(out, axis=1)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def similar(a: bytes, b: bytes, similarity: Fraction) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return similarity.denominator * both >= similarity.numerator * (len(x) + len(y) - both)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """``(a, b, ok)`` of distinct ``pairs``. An ``a`` of many pairs is dealt to several tasks."""
-
-    def run(batches):
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sa", "sb")]
-            ok = [similar(x, y, similarity) for x, y in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts")).where("parts > 1")
-    part: Column = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = pairs.join(many, "a", "left").select("a", "b", part.alias("part"))
-    left = sets.select(F.col("n").alias("a"), F.col("s").alias("sa")).join(many, "a", "left")
-    left = left.select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    right = sets.select(F.col("n").alias("b"), F.col("s").alias("sb"))
-    return dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, ok boolean")
-
-
-def _cells(placed: DataFrame, roots: DataFrame | None, leaf_most: int) -> DataFrame:
-    """``placed (tree, leaf, n, w0, w1)`` with ``lo`` and ``hi``, the cells a row is compared in.
-
-    A leaf of up to ``leaf_most`` rows is one cell. A larger one is dealt to blocks; at first
-    (no ``roots``) rows meet those of their own block only. Then the rows of the leaf's most
-    frequent root need not meet each other: they stay in a block each, and all others go to
-    every block and to all pairs of blocks of their own. So what a large group of copies
-    costs grows with its size and not with the square of it.
-    """
-    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("m")).where(F.col("m") > leaf_most)
-    if roots is None:
-        dealt = placed.join(sizes, ["tree", "leaf"], "left")
-        own = F.pmod(F.xxhash64("n"), F.coalesce(F.ceil(F.col("m") / leaf_most), F.lit(1)))
-        return dealt.select(*placed.columns, own.cast("int").alias("lo"), own.cast("int").alias("hi"))
-    rooted = placed.join(roots, placed.n == roots.node, "left").select(*placed.columns, F.coalesce("root", "n").alias("c"))
-    each = rooted.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", "c").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-    top = each.groupBy("tree", "leaf").agg(F.max(F.struct("k", "c")).alias("top"), F.first("m").alias("m"))
-    blocks = lambda c: F.ceil(c / leaf_most).cast("int")
-    top = top.select("tree", "leaf", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mains"), blocks(F.col("m") - F.col("top.k")).alias("others"))
-    dealt = rooted.join(top, ["tree", "leaf"], "left").withColumn("h", F.xxhash64("n"))
-    mine, ours = (F.pmod("h", F.greatest(F.col(c), F.lit(1))).cast("int") for c in ("others", "mains"))
-    cell = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("others"), F.lit(1)) - 1), lambda w: cell(F.least(mine, w), F.greatest(mine, w)))
-    mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda w: cell(F.lit(-1), w))
-    at = F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0)))).when(F.col("c") == F.col("main"), F.array(cell(F.lit(-1), ours))).otherwise(F.concat(pairs, mains))
-    return dealt.select(*placed.columns, F.explode(at).alias("at")).select(*placed.columns, "at.lo", "at.hi")
-
-
-def _joined(nodes: DataFrame, sets_of, similarity: Fraction, leaf: int, leaf_most: int, miss: float) -> DataFrame | None:
-    """``(node, root)`` of all ``nodes (n, w0, w1)`` that are linked to another one."""
+def _candidates(nodes: DataFrame, similarity: Fraction, leaf: int, leaf_most: int, miss: float) -> DataFrame:
+    """``(node, root)``: groups of ``nodes (n, w0, ...)`` that trees and bits leave together."""
     spark, total = nodes.sparkSession, nodes.count()
     part = nodes.where(F.pmod(F.xxhash64("n"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
     sample = part.select(*WORDS_WIDE).toPandas().to_numpy(np.int64).reshape(-1, WIDE).view(np.uint64)
     trees = spark.sparkContext.broadcast(plant_wide(sample, total, similarity, leaf, miss))
-    p = differing(similarity)
-    most = math.ceil(64 * WIDE * p + 3.5 * math.sqrt(64 * WIDE * p * (1 - p)))
+    bits, p = 64 * WIDE, differing(similarity)
+    most = math.ceil(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
 
     def place(batches):
         for batch in batches:
@@ -459,53 +390,129 @@ def _joined(nodes: DataFrame, sets_of, similarity: Fraction, leaf: int, leaf_mos
                     cells = [np.full(len(row), t, np.int32), at.astype(np.int32), *(v[row] for v in values)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["tree", "leaf", "n", *WORDS_WIDE])
 
+    def in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(np.int64)
+        order = np.argsort(n, kind="stable")
+        words = [pdf[w].to_numpy(np.int64).view(np.uint64)[order] for w in WORDS_WIDE]
+        a, b = _joined_rows(words, np.ones(len(n), bool), most)
+        return pd.DataFrame({"a": n[order[a]], "b": n[order[b]]})
+
     placed = nodes.mapInArrow(place, "tree int, leaf int, n bigint, " + ", ".join(f"{w} bigint" for w in WORDS_WIDE))
+    dealt = _pairs_of_blocks(placed, leaf_most, "n")
+    return stored(components(dealt.groupBy("tree", "leaf", "lo", "hi").applyInPandas(in_leaf, "a bigint, b bigint")))
 
-    def candidates(cells: DataFrame, roots: DataFrame | None, start: int, stop: int) -> DataFrame:
-        rows = cells.withColumn("root", F.col("n")) if roots is None else cells.join(_counted(roots), cells.n == roots.node, "left").select(*cells.columns, F.coalesce("root", "n").alias("root"))
-        find = lambda pdf: leaf_candidates(pdf, most, start, stop)
-        return stored(rows.groupBy("tree", "leaf", "lo", "hi").applyInPandas(find, "a bigint, b bigint").distinct())
-
-    # First one candidate a row; rows that have none anywhere are done, and so are most others.
-    placed = stored(placed)
-    found = candidates(_cells(placed, None, leaf_most), None, 0, 1)
-    ends = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("m")).where(F.col("m") > leaf_most)
-    active = stored(ends.unionByName(placed.join(large, ["tree", "leaf"], "left_semi").select("n")).distinct())
-    if active.isEmpty():
+
+def similar(a: bytes, b: bytes, similarity: Fraction = SIMILARITY) -> bool:
+    """Whether two sorted sets of hashes are linked."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return similarity.denominator * both >= similarity.numerator * (len(x) + len(y) - both)
+
+
+def similar_rows(sets: list[np.ndarray], root: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
+    """Roots of rows that are linked by similarity, directly or over others.
+
+    ``sets``: sorted distinct hashes per row; ``root``: roots known before. All pairs of
+    different roots are decided, a row against all later ones at a time: with a mark on each
+    of its hashes, what it shares with others is a sum of marks.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    root = root.copy()
+    if not len(sets) or not sizes.sum():
+        return root
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    marks = np.zeros(int(codes.max()) + 1, np.int32)
+    sums = np.zeros(len(codes) + 1, np.int64)
+    for i in range(len(sets) - 1):
+        if not sizes[i] or (root[i + 1 :] == root[i]).all():
+            continue
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        marks[own] = 1
+        rest = sums[: len(codes) - ends[i] + 1]
+        np.cumsum(marks[codes[ends[i] :]], out=rest[1:])
+        marks[own] = 0
+        both = np.diff(rest[np.concatenate(([ends[i]], ends[i + 1 :])) - ends[i]])
+        alike = similarity.denominator * both >= similarity.numerator * (sizes[i] + sizes[i + 1 :] - both)
+        alike &= sizes[i + 1 :] > 0
+        if alike.any():
+            met = np.unique(np.concatenate(([root[i]], root[i + 1 :][alike])))
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+    return root
+
+
+def _links_in(cells: DataFrame, similarity: Fraction) -> DataFrame:
+    """Stars of ``cells (c, lo, hi, n, root, s)``: links of each cell's rows beyond their roots."""
+
+    def in_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Rows of the most frequent root last: they need not be compared with each other.
+        known = pdf["root"].to_numpy(np.int64)
+        values, place, count = np.unique(known, return_inverse=True, return_counts=True)
+        order = np.lexsort((pdf["n"].to_numpy(np.int64), values[place], count[place]))
+        known = known[order]
+        sets = [np.frombuffer(pdf["s"].iloc[i], np.uint64) for i in order]
+        root = similar_rows(sets, known, similarity)
+        stars = np.unique(np.stack([root, known], axis=1)[root != known], axis=0)
+        return pd.DataFrame({"a": stars[:, 0], "b": stars[:, 1]})
+
+    return cells.groupBy("c", "lo", "hi").applyInPandas(in_cell, "a bigint, b bigint")
+
+
+def _links_by_similarity(members: DataFrame, similarity: Fraction, cell: int) -> DataFrame | None:
+    """``(node, root)`` over the links of ``members (c, n, s)``, the texts of groups ``c``.
+
+    A group of up to ``cell`` texts is one task. A larger one is dealt to blocks, each of which
+    also gets some of the group's texts as pivots that join the blocks' parts. What is still
+    apart then meets: texts of the group's largest part stay in a block each, as they need not
+    meet each other, and all others go to each of those blocks and to all pairs of blocks of
+    their own. So a large group of copies costs in proportion to its size, not its square.
+    """
+    sizes = members.groupBy("c").agg(F.count("*").alias("m"), F.sum(F.length("s")).alias("bytes"))
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / cell, size / CELL_BYTES)).cast("int")
+    large = sizes.select("c", "m", "bytes", blocks(F.col("m"), F.col("bytes")).alias("blocks")).where("blocks > 1")
+    large = _counted(stored(large))
+    dealt = members.join(large, "c", "left").withColumns({"root": F.col("n"), "blocks": F.coalesce("blocks", F.lit(1))})
+    own = F.pmod(F.xxhash64("n"), "blocks").cast("int")
+    pivot = F.pmod(F.xxhash64("n", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("m") / PIVOTS))) == 0
+    at = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    first = stored(_links_in(dealt.select("c", "n", "root", "s", F.explode(at).alias("lo")).withColumn("hi", F.col("lo")), similarity))
+    if first.isEmpty() and large.isEmpty():
         return None
-    sets = stored(sets_of(active))
-    seen = roots = cells = None
-    start, stop = 0, WIDTHS[0]
-    while True:
-        pairs = found.where("a <> b")
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(_verified(stored(pairs), sets, similarity))
-        seen = new if seen is None else seen.unionByName(new)
-        if not new.where("ok").isEmpty():
-            roots = stored(components(seen.where("ok").select("a", "b")))
-        if cells is None:
-            cells = stored(_cells(placed.join(active, "n", "left_semi"), roots if roots is not None else spark.createDataFrame([], "node bigint, root bigint"), leaf_most))
-        elif found.where("a = b").isEmpty():
-            return roots
-        else:
-            start, stop = stop, stop + WIDTHS[1]
-        found = candidates(cells, roots, start, stop)
-
-
-def first_of_groups(docs: DataFrame, words: int = 5, similarity: Fraction = SIMILARITY, leaf: int = LEAF, leaf_most: int = LEAF_MOST, miss: float = MISS) -> DataFrame:
-    """``n`` of the row of least ``(doc_id, n)`` in each group of near copies of ``docs(doc_id,
-    n, text)``; ``n`` numbers the rows (it must not change when the table is read again).
-
-    Linked are texts whose sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more; groups are what links reach. Texts of equal words are one node
-    from the start, so a group of copies of any size costs one row; texts without words are
-    copies of each other. Whole texts count, however long. Null ids count as least, repeated
-    rows are copies; an empty table gives an empty result; extra columns are ignored.
-
-    Every link is exact. A pair at the bound is found with a probability of ``1 - miss`` or
-    more, more similar ones more surely; up to ``leaf`` texts all pairs are compared.
+    roots = stored(components(first))
+    if large.isEmpty():
+        return roots
+
+    apart = members.join(large, "c").join(_counted(roots), F.col("n") == F.col("node"), "left")
+    apart = apart.select("c", "n", "s", "m", "bytes", F.coalesce("root", "n").alias("root"))
+    parts = apart.groupBy("c", "m", "bytes", "root").agg(F.count("*").alias("k"), F.sum(F.length("s")).alias("size"))
+    top = parts.groupBy("c", "m", "bytes").agg(F.max(F.struct("k", "size", "root")).alias("top"))
+    top = top.select("c", F.col("top.root").alias("main"), blocks(F.col("top.k"), F.col("top.size")).alias("mains"), blocks(F.col("m") - F.col("top.k"), F.col("bytes") - F.col("top.size")).alias("others"))
+    apart = apart.select("c", "n", "s", "root").join(_counted(stored(top)), "c").where("others > 0")
+    h = F.xxhash64("n", F.lit(2))
+    cells = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    mine = F.pmod(h, F.greatest("others", F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda w: cells(F.least(mine, w), F.greatest(mine, w)))
+    mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda w: cells(F.lit(-1), w))
+    at = F.when(F.col("root") == F.col("main"), F.array(cells(F.lit(-1), F.pmod(h, F.col("mains"))))).otherwise(F.concat(pairs, mains))
+    second = stored(_links_in(apart.select("c", "n", "root", "s", F.explode(at).alias("at")).select("c", "n", "root", "s", "at.*"), similarity))
+    return stored(components(first.unionByName(second)))
+
+
+def later_of_groups(docs: DataFrame, row: str, words: int = 5, similarity: Fraction = SIMILARITY, leaf: int = LEAF, leaf_most: int = LEAF_MOST, miss: float = MISS, cell: int = CELL) -> DataFrame:
+    """``(row)`` of all rows of ``docs (doc_id, row, text)`` that go as near copies of others: of
+    each group of linked texts all but the one of least ``(doc_id, row)``.
+
+    ``row`` names a column that tells rows apart, the same whenever the table is read. Linked
+    are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
+    or more; groups are what links reach. Texts of equal words are one node from the start,
+    so a group of copies of any size costs one row; texts without words are copies of each
+    other. Whole texts count, however long. Null ids count as least, repeated rows are copies;
+    an empty table gives an empty result; extra columns are ignored.
+
+    Every link is exact. A pair at the bound is found with a probability of about ``1 - miss``,
+    more similar ones more surely; among up to ``leaf`` texts only the bits of the wide
+    fingerprint decide what is compared.
     """
     small_batches(docs.sparkSession)
 
@@ -518,14 +525,20 @@ def first_of_groups(docs: DataFrame, words: int = 5, similarity: Fraction = SIMI
     def shingled(texts):
         return [pa.array([shingles(words_of(t), words).tobytes() for t in texts], pa.binary())]
 
-    signed = stored(add_columns(docs, "text", lambda: sign, "key binary, " + ", ".join(f"{w} bigint" for w in WORDS_WIDE), ["doc_id", "n"]))
-    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), *(F.first(w).alias(w) for w in WORDS_WIDE))
-    nodes = stored(nodes.select("first", F.col("first.n").alias("n"), *WORDS_WIDE))
-    sets_of = lambda ns: add_columns(docs.select("n", "text").join(ns, "n", "left_semi"), "text", lambda: shingled, "s binary", ["n"])
-    roots = _joined(nodes.select("n", *WORDS_WIDE), sets_of, similarity, leaf, leaf_most, miss)
+    docs = docs.select("doc_id", F.col(row).alias("row"), "text")
+    signed = stored(add_columns(docs, "text", lambda: sign, "key binary, " + ", ".join(f"{w} bigint" for w in WORDS_WIDE), ["doc_id", "row"]))
+    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("m"), *(F.first(w).alias(w) for w in WORDS_WIDE))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("n"), "*"))
+    copied = _counted(stored(nodes.where("m > 1").select("key", F.col("first.row").alias("kept"))))
+    copies = signed.select("key", "row").join(copied, "key").where("row <> kept").select(F.col("row").alias(row))
+
+    groups = _candidates(nodes.select("n", *WORDS_WIDE), similarity, leaf, leaf_most, miss)
+    ends = stored(nodes.select("n", "first").join(_counted(groups), F.col("n") == F.col("node")).select("n", F.col("root").alias("c"), "first"))
+    texts = docs.select("row", "text").join(_counted(ends.select(F.col("first.row").alias("row"), "c", "n")), "row")
+    members = stored(add_columns(texts, "text", lambda: shingled, "s binary", ["c", "n"]))
+    roots = _links_by_similarity(members, similarity, cell)
     if roots is None:
-        return nodes.select("n")
-    # Of each group all but the node of least (doc_id, n) go.
-    grouped = stored(nodes.join(_counted(roots), nodes.n == roots.node).select("n", "first", "root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
-    return nodes.select("n").join(grouped.select("n"), "n", "left_anti").unionByName(least)
+        return copies
+    linked = stored(ends.select("n", "first").join(_counted(roots), F.col("n") == F.col("node")).select("root", "first"))
+    least = _counted(stored(linked.groupBy("root").agg(F.min("first").alias("least"))))
+    return copies.unionByName(linked.join(least, "root").where("first <> least").select(F.col("first.row").alias(row)))

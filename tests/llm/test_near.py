@@ -74,8 +74,8 @@ def test_wide_fingerprint_matches_plain():
             assert got & (1 << 64) - 1 == want
 
 
-@pytest.mark.parametrize("leaf_most", [1 << 14, 40])
-def test_recall_of_small_leaves(spark, leaf_most):
+@pytest.mark.parametrize("leaf_most, cell", [(1 << 14, 1024), (40, 20)])
+def test_recall_of_small_leaves(spark, leaf_most, cell):
     """Pairs just above the bound among many other texts, with leaves far smaller than the
     table; a group of copies larger than a leaf may hold."""
     rng = random.Random(1)
@@ -88,8 +88,26 @@ def test_recall_of_small_leaves(spark, leaf_most):
         rows.append(" ".join([*base[: i + 1], "x", *base[i + 2 :]]))
     rows += [" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(30)) for _ in range(1500)]
     docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "doc_id bigint, n bigint, text string")
-    kept = {r.n for r in S.first_of_groups(docs, leaf=24, leaf_most=leaf_most).collect()}
+    gone = [r.n for r in S.later_of_groups(docs, "n", leaf=24, leaf_most=leaf_most, cell=cell).collect()]
+    kept = set(range(len(rows))) - set(gone)
+    assert len(gone) == len(set(gone))
     assert all(2 * i in kept for i in range(pairs))
     assert sum(2 * i + 1 not in kept for i in range(pairs)) >= 0.98 * pairs
     assert kept & set(range(2 * pairs, 2 * pairs + 150)) == {2 * pairs}
     assert len(kept) <= 1.02 * pairs + 1 + 1500 and set(range(2 * pairs + 150, len(rows))) <= kept
+
+
+def test_rows_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.zeros(0, np.uint64)]
+    for _ in range(20):
+        own = rng.integers(0, 1 << 63, int(rng.integers(1, 40)), dtype=np.uint64)
+        for _ in range(4):
+            sets.append(np.unique(np.where(rng.random(len(own)) < 0.05, rng.integers(0, 1 << 63, len(own), dtype=np.uint64), own)))
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i]) and len(sets[j]) and S.similar(sets[i].tobytes(), sets[j].tobytes(), S.SIMILARITY):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert S.similar_rows(sets, np.arange(len(sets))).tolist() == root and len(set(root)) < len(root) - 15
