@@ -8,7 +8,8 @@ costs no more than the stage at work. All but the last return the columns of doc
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.llm import bpe, decontaminate, langid, quality, simhash
@@ -18,10 +19,10 @@ from passagekit.llm.common import read, remainder, stored
 LANGUAGE, QUALITY = 0.5, 0.3
 
 
-def _apart(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and all other columns as one, whatever they are called."""
+def _apart(docs: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id``, ``text``, ``more`` and all other columns as one, whatever they are called."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*others, F.lit(1).alias("_")).alias("_rest"))
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(1).alias("_")).alias("_rest"), *more)
 
 
 def _together(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -47,12 +48,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays.
 
     Linked are texts whose five-word shingles have a similarity of 0.8 or more. Rows are told
-    apart by their number, also where ids repeat or are null (null ids count as least); the
-    numbered table is written, as numbers depend on how a table is dealt to tasks.
+    apart by their file and their place in it, also where ids repeat or are null (null ids
+    count as least). A table that is not read from Parquet is written first, as numbers given
+    while it is computed would depend on how it is dealt to tasks.
     """
-    numbered = stored(_apart(docs).withColumn("n", F.monotonically_increasing_id()))
-    first = simhash.first_of_groups(numbered.select("doc_id", "n", "text"))
-    return _together(numbered.join(first, "n", "left_semi"), docs)
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = _apart(docs, F.struct(place["file_path"], place["row_index"]).alias("_row"))
+    except AnalysisException:
+        rows = stored(_apart(docs, F.monotonically_increasing_id().alias("_row")))
+    gone = simhash.later_of_groups(rows.select("doc_id", "_row", "text"), "_row")
+    return _together(rows.join(gone, "_row", "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
