@@ -30,7 +30,10 @@ from passagekit.llm.common import stored
 #: The band: shares of all distinct texts that hold a term.
 LOW, HIGH = 0.001, 0.25
 #: Lexicon terms that are broadcast at most; characters of text in a range of ids.
-BROADCAST, RANGE_CHARS, RANGES = 400_000, 2 << 20, 1 << 16
+BROADCAST, RANGE_CHARS = 400_000, 2 << 20
+#: Outer ranges of ids, whose bounds are literals in the plan; each is cut into as many inner
+#: ranges as its share of the characters asks for, with bounds from a joined table.
+OUTER = 1 << 10
 #: Texts whose terms are collected in a map at once, beyond which they are sorted (and may spill).
 GROUPS = 4096
 #: Seeds; three hex digits of the term's MD5 each, and a subset holds those below a bound:
@@ -106,35 +109,56 @@ def likeness(a: Column, b: Column) -> Column:
     return total(same).cast("double") / total(used)
 
 
-def _ranges(docs: DataFrame, id_col: str, text_col: str, range_chars: int) -> DataFrame:
-    """Rows with their range, and again (``guest``) in the range before whose rows they follow."""
+def _ranges(docs: DataFrame, id_col: str, text_col: str, range_chars: int, most_outer: int = OUTER) -> DataFrame:
+    """Rows with their range, and again (``guest``) in the range before whose rows they follow.
+
+    Only the bounds and the first ids of outer ranges reach the driver, however many inner
+    ranges there are.
+    """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    side = min(math.isqrt(RANGES), max(1, math.ceil(math.sqrt(chars / range_chars))))
-    shares = [i / (side * side) for i in range(1, side * side)]
-    bounds = docs.agg(F.percentile_approx(id_col, shares, 100 * side * side)).first()[0] if shares else []
-    place: Column = F.lit(0)
+    outer = min(most_outer, max(1, math.ceil(chars / range_chars)))
+    inner = max(1, math.ceil(chars / range_chars / outer))
+    shares = [i / outer for i in range(1, outer)]
+    bounds = docs.agg(F.percentile_approx(id_col, shares, 100 * outer)).first()[0] if shares else []
+    # Two steps of counting the bounds that are not above the id.
+    side, place = math.isqrt(outer) + 1, F.lit(0)
     if bounds:
-        # Two steps of counting the bounds that are not above the id.
+        groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
         text = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-        outer = bounds[side - 1 :: side]
-        inner = ",".join(text(bounds[i * side : (i + 1) * side - 1]) for i in range(side))
-        first = F.expr(f"size(filter({text(outer)}, b -> b <= {id_col}))")
-        place = first * side + F.expr(f"size(filter(element_at(array({inner}), size(filter({text(outer)}, b -> b <= {id_col})) + 1), b -> b <= {id_col}))")
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.cast("int").alias("own"))
-    # The least id of each range: a row a range on the driver.
-    heads = sorted((r.own, r.head[0]) for r in rows.groupBy("own").agg(F.min(F.struct(id_col)).alias("head")).collect())
-    kind = docs.schema[id_col].dataType.simpleString()
-    before = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]
-    guests = spark.createDataFrame(before, f"head {kind}, before int")
-    placed = rows.join(F.broadcast(guests), F.col(id_col).eqNullSafe(F.col("head")), "left")
-    own, guest = F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))
-    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))
+        before = f"size(filter({text([g[-1] for g in groups])}, b -> b <= {id_col}))"
+        rest = f"element_at(array({','.join(map(text, [*groups, [bounds[-1]]]))}), {before} + 1)"
+        place = F.expr(f"{before} * {side} + if({before} < {len(groups)}, size(filter({rest}, b -> b <= {id_col})), 0)")
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.cast("bigint").alias("outer"))
+    at: Column = F.lit(0).cast("bigint")
+    if inner > 1:
+        cuts = rows.groupBy("outer").agg(F.percentile_approx(id_col, [i / inner for i in range(1, inner)], 100 * inner).alias("cuts"))
+        cuts = stored(cuts)
+        rows = rows.join(F.broadcast(cuts) if cuts.count() * inner <= BROADCAST else cuts, "outer", "left")
+        at = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(id_col))), F.lit(0)).cast("bigint")
+    rows = rows.select(id_col, "text", "outer", at.alias("inner"))
+    # The least id of each range and the range before it: inner ones by a window, from one
+    # outer range to the next (and from the last to the first) by a row each on the driver.
+    heads = stored(rows.groupBy("outer", "inner").agg(F.min(F.struct(id_col)).alias("head")))
+    ends = sorted((r.outer, r.last) for r in heads.groupBy("outer").agg(F.max("inner").alias("last")).collect())
+    links = [(ends[i][0], *ends[i - 1]) for i in range(len(ends))]
+    previous = F.broadcast(spark.createDataFrame(links, "outer bigint, p_outer bigint, p_inner bigint"))
+    prior = F.lag("inner").over(Window.partitionBy("outer").orderBy("inner"))
+    guests = heads.withColumn("prior", prior).join(previous, "outer")
+    first = F.col("prior").isNull()
+    guests = guests.select(
+        F.col(f"head.{id_col}").alias("head"), F.when(first, F.col("p_outer")).otherwise(F.col("outer")).alias("g_outer"), F.coalesce("prior", "p_inner").alias("g_inner")
+    )
+    guests = stored(guests)
+    side_of = F.broadcast(guests) if guests.count() <= BROADCAST else guests
+    placed = rows.join(side_of, F.col(id_col).eqNullSafe(F.col("head")), "left")
+    range_of = lambda o, i, guest: F.struct((F.col(o) * inner + F.col(i)).alias("range"), F.lit(guest).alias("guest"))
+    places = F.when(F.col("g_outer").isNull(), F.array(range_of("outer", "inner", False))).otherwise(F.array(range_of("outer", "inner", False), range_of("g_outer", "g_inner", True)))
     return placed.select(id_col, "text", F.explode(places).alias("p")).select(id_col, "text", "p.range", "p.guest")
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH, range_chars: int = RANGE_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH, range_chars: int = RANGE_CHARS, outer: int = OUTER
 ) -> DataFrame:
     """Per row: ``(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
@@ -143,6 +167,7 @@ def fingerprints(
     row is followed by the first. Rows of one id follow each other in order of their texts,
     null ids come first; null texts count as empty. Equal texts have equal fingerprints. An
     only row follows itself; an empty table gives an empty result; extra columns are ignored.
+    Texts are whole however long; a longer one than a range is meant to hold is a range's own.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
@@ -150,7 +175,7 @@ def fingerprints(
     if words.count() <= BROADCAST:
         words = F.broadcast(words)
     order = Window.partitionBy("range").orderBy("guest", id_col, "text")
-    rows = _ranges(docs.select(id_col, text_col), id_col, text_col, range_chars)
+    rows = _ranges(docs.select(id_col, text_col), id_col, text_col, range_chars, outer)
     rows = rows.withColumns({"pos": F.row_number().over(order), "next": F.lead("text").over(order)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

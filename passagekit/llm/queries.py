@@ -118,9 +118,10 @@ e AS (
 f AS (SELECT doc_id, next_id, n, text, left(text, n - n // 2) || left(after, n // 2) AS edited FROM e),
 forms AS (SELECT doc_id, 0 AS form, text FROM f UNION ALL SELECT doc_id, 1, edited FROM f),
 each AS (SELECT doc_id, form, unnest({terms}) AS t FROM forms),
+once AS (SELECT DISTINCT text FROM d),
 lex AS (
-  SELECT t FROM each WHERE form = 0 GROUP BY t
-  HAVING count(*) BETWEEN {low} * (SELECT count(*) FROM d) AND {high} * (SELECT count(*) FROM d)
+  SELECT t FROM (SELECT unnest({terms}) AS t FROM once) GROUP BY t
+  HAVING count(*) BETWEEN {low} * (SELECT count(*) FROM once) AND {high} * (SELECT count(*) FROM once)
 ),
 signed AS (
   SELECT doc_id, form, [left(md5(string_agg(t, ' ' ORDER BY t)), 6), {subsets}] AS sig

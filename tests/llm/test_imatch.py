@@ -37,11 +37,11 @@ def likeness(a, b):
 
 def brute(rows, low, high):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
-    df = {}
-    for _, t in rows:
+    df, once = {}, {t for _, t in rows}
+    for t in once:
         for x in terms(t):
             df[x] = df.get(x, 0) + 1
-    lexicon = {t for t, n in df.items() if low * len(rows) <= n <= high * len(rows)}
+    lexicon = {t for t, n in df.items() if low * len(once) <= n <= high * len(once)}
     out = []
     for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         m = len(t) // 2
@@ -59,11 +59,11 @@ def case(seed, n=60):
     return rows + [(None, "null id"), (None, "another null"), (ids[3], rows[3][1]), (ids[4], "same id"), (9000, None), (9001, ""), (9002, "?!"), (9003, "long " * 4000)]
 
 
-@pytest.mark.parametrize("chars", [1 << 20, 300])
-def test_against_brute_force(spark, chars):
+@pytest.mark.parametrize(("chars", "outer"), [(1 << 20, 1024), (300, 1024), (300, 3), (40, 1)])
+def test_against_brute_force(spark, chars, outer):
     rows = case(chars)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", edited string, range int").repartition(3)
-    got = M.fingerprints(docs, low=0.05, high=0.6, range_chars=chars).collect()
+    got = M.fingerprints(docs, low=0.05, high=0.6, range_chars=chars, outer=outer).collect()
     got = sorted(((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str)
     assert got == brute(rows, 0.05, 0.6)
 
