@@ -1,13 +1,13 @@
 """WARC archives by way of a table of record chunks.
 
-Payloads travel as rows of record, chunk number and at most ``CHUNK`` bytes, cut where
-they are read, so that neither a writer nor a reader ever holds a whole record. Chunks
-carry the number of payload bytes and the SHA-1 digest of the payload so far, so the last
-chunk's are those of the record.
+Payloads travel as rows of record, chunk number and at most ``CHUNK`` bytes (compressed on the
+way). They are cut before anything else is done with them, so that beyond the page's own cell
+no row, writer or reader ever holds a whole record. Chunks carry the number of payload bytes
+and the SHA-1 digest of the payload so far, so the last chunk's are those of the record.
 
 Of records with equal payloads one is kept as a response, the others become revisits
-without payload. Which one is decided on narrow rows (digest and id); payloads are dealt by
-id, which no group of copies makes uneven. Writers give their archives their final name
+without payload. Which one is decided on narrow rows (digest and id); chunks are dealt by
+record, which no group of copies makes uneven. Writers give their archives their final name
 only when complete and report them in a manifest, a Parquet table; what a lost or repeated
 task leaves behind is in no manifest and is never read.
 """
@@ -51,31 +51,68 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def _cut(pages: DataFrame, chunk: int, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    """Rows ``(record, page_id, url, chunk_no, chunks, size, sha1, packed)``, in order.
+
+    A payload becomes an array of pieces before rows are made of it, so that no row but the
+    page's has more than one. ``size`` and ``sha1`` are of the payload up to the chunk's end.
+    """
+    payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    last = F.greatest(F.ceil(F.length(payload) / chunk), F.lit(1)) - 1
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.substring(payload, (i * chunk + 1).cast("int"), F.lit(chunk)))
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), pieces.alias("pieces"))
+    rows = rows.select("record", "page_id", "url", F.size("pieces").cast("bigint").alias("chunks"), F.posexplode("pieces").alias("chunk_no", "payload"))
+
+    def run(batches):
+        digest, size = None, 0
+        for batch in batches:
+            sizes, sums, packed = [], [], []
+            for no, payload in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if no == 0:
+                    digest, size = hashlib.sha1(), 0
+                data = payload.as_py()
+                digest.update(data)
+                size += len(data)
+                sizes.append(size)
+                sums.append(digest.hexdigest())
+                packed.append(_pack(data))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], batch.column(4).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(packed, pa.binary())],
+                names=["record", "page_id", "url", "chunks", "chunk_no", "size", "sha1", "packed"],
+            )
+
+    small_batches(pages.sparkSession)
+    return rows.mapInArrow(run, "record bigint, page_id bigint, url string, chunks bigint, chunk_no bigint, size bigint, sha1 string, packed binary")
+
+
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""
+
+
 def chunked(pages: DataFrame, least: int = 0, chunk: int = CHUNK, id_col="page_id", url_col="url", text_col="html") -> DataFrame:
-    """Rows ``(page_id, url, sha1, size, record_type, refers_to, chunk_no, chunks, payload)``.
+    """Rows ``(record, page_id, url, sha1, size, record_type, refers_to, chunk_no, chunks,
+    packed)``, the chunks of a record in one partition and in order.
 
     Payloads are the texts in UTF-8, null as empty. Of records with equal payloads of at
     least ``least`` bytes, that with the largest id is the response (all of them, if rows
     are repeated), the others revisit it; records of null ids revisit any other there is.
     """
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.length("payload").cast("bigint")})
-    kept = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    narrow = rows.select("page_id", "sha1", "size").join(kept.where("n > 1").drop("n"), ["sha1", "size"])
-    revisits = narrow.where(~F.col("page_id").eqNullSafe(F.col("keep"))).select("page_id", "sha1", "keep").distinct()
-    revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "keep")
-    same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1"))
-    marked = rows.join(revisits.hint("shuffle_hash"), same, "left")
-    again = F.col("r_sha1").isNotNull()
-    held = F.when(again, F.lit(b"")).otherwise(F.col("payload"))
-    last = F.when(again | (F.col("size") == 0), F.lit(0)).otherwise(F.floor((F.col("size") - 1) / chunk))
-    numbered = marked.select(
-        "page_id", "url", "sha1", "size", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(again, F.col("keep")).alias("refers_to"), held.alias("whole"), (last + 1).cast("bigint").alias("chunks"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("chunk_no"),
+    cut = stored(_cut(pages, chunk, id_col, url_col, text_col))
+    whole = cut.where(F.col("chunk_no") == F.col("chunks") - 1).select("record", "page_id", "sha1", "size")
+    kept = whole.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
+    decided = whole.join(kept, ["sha1", "size"], "left").select("record", "sha1", "size", again.alias("again"), F.when(again, F.col("keep")).alias("refers_to"))
+    rows = cut.drop("sha1", "size").join(decided.hint("shuffle_hash"), "record").where(~F.col("again") | (F.col("chunk_no") == 0))
+    rows = rows.select(
+        "record", "page_id", "url", "sha1", "size", F.when(F.col("again"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), "refers_to",
+        "chunk_no", F.when(F.col("again"), F.lit(1)).otherwise(F.col("chunks")).alias("chunks"), F.when(~F.col("again"), F.col("packed")).alias("packed"),
     )
-    piece = F.substring("whole", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk))
-    return numbered.select("page_id", "url", "sha1", "size", "record_type", "refers_to", "chunk_no", "chunks", piece.alias("payload"))
+    return rows.sortWithinPartitions("record", "chunk_no")
 
 
 def head(row: dict) -> bytes:
@@ -122,7 +159,9 @@ def write(chunks: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"path": f"{name}.warc.gz", "records": records, "payload_bytes": size}], schema=manifest)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                payload = _unpack(row["packed"]) if row["packed"] else b""
                 if row["chunk_no"] == 0:
                     if out and size >= archive:
                         yield done()
@@ -132,9 +171,9 @@ def write(chunks: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
                         out = fs.open_output_stream(f"{base}/{name}.open", compression=None)
                     member, digest = zlib.compressobj(LEVEL, wbits=31), hashlib.sha1()
                     out.write(member.compress(head(row)))
-                digest.update(row["payload"])
-                out.write(member.compress(row["payload"]))
-                size += len(row["payload"])
+                digest.update(payload)
+                out.write(member.compress(payload))
+                size += len(payload)
                 if row["chunk_no"] == row["chunks"] - 1:
                     if row["record_type"] == "response" and digest.hexdigest() != row["sha1"]:
                         raise ValueError(f"chunks of page {row['page_id']} are out of order")

@@ -84,3 +84,13 @@ def test_damaged_archives_are_refused(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.archive(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_no_row_holds_a_whole_payload(spark):
+    """A payload of many chunks: rows hold one each, and only the cut reads the page's cell."""
+    pages = spark.createDataFrame([(1, "u", "0123456789" * 5000), (2, "u", "0123456789" * 5000), (3, None, None)], PAGES)
+    chunks = W.chunked(pages, chunk=1000).collect()
+    assert [(r.page_id, r.chunk_no) for r in chunks if r.page_id == 2] == [(2, i) for i in range(50)]
+    assert all(len(W._unpack(r.packed)) == 1000 for r in chunks if r.page_id == 2)
+    assert [(r.page_id, r.record_type, r.refers_to, r.packed) for r in chunks if r.page_id == 1] == [(1, "revisit", 2, None)]
+    assert sum(r.page_id == 3 for r in chunks) == 1
