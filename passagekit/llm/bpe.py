@@ -93,6 +93,8 @@ class Vocabulary:
                     agree = agree + 1 if old[n - shift - 1] == t else 0
                     if agree >= self.longest:
                         return
+        if n != len(data):
+            raise ValueError(f"no token of the vocabulary ends byte {n} of a pre-token")
 
     def encode(self, data: bytes) -> list[int]:
         last: list[int] = []
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     """``docs`` with ``ids``: the token ids of the text, an empty list for a null.
     ``keep``: the columns to return beside them.
 
-    ``path`` is a rank file that every executor has. Rows are independent: repeated rows,
+    ``path`` is a rank file that every executor has. Whole texts count, however long. Rows are independent: repeated rows,
     null ids and extra columns change nothing (a column named like the new one is
     replaced), an empty table gives an empty result. Text is never merged across matches
     of ``pattern``, nor are special tokens known.

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passagekit.plans.shared import shared_dir, stored
 
-__all__ = ["add_columns", "read", "remainder", "shared_dir", "small_batches", "stored"]
+__all__ = ["add_columns", "read", "remainder", "sample_texts", "shared_dir", "small_batches", "stored"]
 
+#: Characters of a sample of texts that a model is fitted on.
+SAMPLE_CHARACTERS = 48 << 20
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
@@ -61,3 +63,11 @@ def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list]
 def remainder(key: str, modulus: int):
     """crc32 of the key as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.col(key).cast("string")) % F.lit(modulus)
+
+
+def sample_texts(rows: DataFrame, most: int, id_col: str, text_col: str, characters: int = SAMPLE_CHARACTERS) -> DataFrame:
+    """At most ``most`` of ``rows``, in order of id and text, and of those, in order of a hash
+    of the id, as many whole texts as have ``characters`` characters together."""
+    rows = rows.orderBy(id_col, text_col).limit(most)
+    sums = F.sum(F.coalesce(F.length(text_col), F.lit(0))).over(Window.orderBy(F.xxhash64(id_col), id_col, text_col).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_sum", sums).where(F.col("_sum") <= characters).drop("_sum").orderBy(id_col, text_col)

@@ -12,34 +12,47 @@ distinct word needs the forward algorithm once for all languages.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import add_columns, small_batches
 
-#: Labelled texts sampled per language to learn from (by a hash of their id).
-PER_LANGUAGE = 200
-#: Letters of a word scored together; a longer run of letters counts as several words.
+#: Labelled texts sampled per language to learn from (by a hash of their id), and their
+#: characters: texts that would go beyond are left out of the sample, whole.
+PER_LANGUAGE, CHARACTERS = 200, 4 << 20
+#: Learning alone takes words of at most so many letters, and cuts longer ones.
 LONGEST = 32
+#: Characters of words whose pieces are found at once; longer words go in slabs of as many.
+SLAB = 1 << 16
 #: Probability of a character as a piece of its own where no piece explains it.
 FLOOR = 1e-7
 ROUNDS, PRIOR = 4, 0.01
-#: Words a task remembers scores of.
+#: Words a task remembers scores of, none of more than LONGEST letters.
 MEMO = 200_000
 MARK, UNKNOWN = "▁", "und"
 
-_WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}").findall
+_WORDS = re.compile(r"[^\W\d_]+").findall
+#: As `_WORDS`, with the marks that combine with letters (the library's \w has them).
+_MARKED_WORDS = regex.compile(r"[^\W\d_]+").findall
+#: Finds a mark, or a character beyond the first plane that may be one.
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c))[0] == "M") + chr(0x10000) + "-" + chr(sys.maxunicode) + "]").search
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none where the text has no letter."""
-    found = _WORDS(text.lower()) if text else []
+    """Runs of letters and their marks in lower case; none where the text has no letter."""
+    if not text:
+        return []
+    low = text.lower()
+    found = _WORDS(low) if low.isascii() or not _MARKS(low) else _MARKED_WORDS(low)
     if not any(map(str.isalpha, found)) and not any(c.isalpha() for w in found for c in w):
         return []
     return found
@@ -98,6 +111,73 @@ def forward(lengths, word, end, piece, size, p: np.ndarray) -> np.ndarray:
     return a
 
 
+class Sums:
+    """The forward algorithm for the whole of each of some words, of any length.
+
+    Holds the sums of as many positions as the longest piece has characters, scaled by
+    factors that are kept apart, so that neither memory grows with a word nor its
+    probability runs out of range. ``lengths`` must fall.
+    """
+
+    def __init__(self, lengths: np.ndarray, size: np.ndarray, p: np.ndarray):
+        self.lengths, self.size, self.p = lengths, size, p
+        self.width = int(size.max(initial=1)) + 1
+        self.held = np.zeros((len(lengths), self.width, p.shape[1]))
+        self.held[:, 0] = 1.0
+        self.log = np.zeros((len(lengths), p.shape[1]))
+        self.out = np.zeros((len(lengths), p.shape[1]))
+        self.at = 0
+
+    def advance(self, stop: int, word: np.ndarray, end: np.ndarray, piece: np.ndarray) -> None:
+        """On to position ``stop``; the pieces that end up to there, ordered by their ends."""
+        start = self.at
+        cuts = np.searchsorted(end, np.arange(start + 1, stop + 2))
+        active = np.searchsorted(-self.lengths, -np.arange(start + 1, stop + 1), "right")
+        for k in range(stop - start):
+            i, n = start + k + 1, active[k]
+            now = self.held[:n, (i - 1) % self.width] * FLOOR
+            here = slice(cuts[k], cuts[k + 1])
+            w, found = word[here], piece[here]
+            if len(w):
+                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                now[w[first]] += np.add.reduceat(self.held[w, (i - self.size[found]) % self.width] * self.p[found], first, axis=0)
+            self.held[:n, i % self.width] = now
+            done = slice(np.searchsorted(-self.lengths, -i, "left"), n)
+            self.out[done] = np.log(np.maximum(now[done], 1e-300)) + self.log[done]
+            if i % 8 == 0:
+                top = self.held[:n].max(axis=1)
+                self.held[:n] /= top[:, None]
+                self.log[:n] += np.log(top)
+        self.at = stop
+
+
+def log_sums(matcher: Matcher, found: list[str], p: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language, summed over all segmentations."""
+    order = sorted(range(len(found)), key=lambda i: -len(found[i]))
+    out, at = np.zeros((len(found), p.shape[1])), 0
+    while at < len(order):
+        chars, stop = len(found[order[at]]), at + 1
+        while stop < len(order) and chars + len(found[order[stop]]) <= SLAB:
+            chars += len(found[order[stop]])
+            stop += 1
+        part = [found[i] for i in order[at:stop]]
+        if len(part) == 1 and len(part[0]) > SLAB:
+            whole = MARK + part[0]
+            sums, back = Sums(np.array([len(whole)]), matcher.size, p), int(matcher.size.max(initial=1)) - 1
+            for a in range(0, len(whole), SLAB):
+                b, early = min(len(whole), a + SLAB), max(0, a - back)
+                ends = [(early + e + 1, k) for e, k in matcher.automaton.iter(whole[early:b]) if early + e >= a] if len(matcher.size) else []
+                end, piece = (np.array([x[j] for x in ends], np.int64) for j in (0, 1))
+                sums.advance(b, np.zeros(len(end), np.int64), end, piece)
+        else:
+            lengths, word, end, piece = matcher.find(part)
+            sums = Sums(lengths, matcher.size, p)
+            sums.advance(int(lengths[0]), word, end, piece)
+        out[order[at:stop]] = sums.out
+        at = stop
+    return out
+
+
 def expectation(lengths, word, end, piece, size, p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur ``n`` times; ``p`` of one language."""
     a = forward(lengths, word, end, piece, size, p[:, None])[:, :, 0]
@@ -158,9 +238,7 @@ class Scorer:
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            match = self.matcher.find(part)
-            a = forward(*match, self.matcher.size, self.model.p)
-            logs = np.log(np.maximum(a[np.arange(len(part)), match[0]], 1e-300))
+            logs = log_sums(self.matcher, part, self.model.p)
             n = len(self.at)
             if n + len(part) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros((max(len(self.rows), len(part)), self.rows.shape[1]), np.float32)))
@@ -173,11 +251,18 @@ class Scorer:
         flat = [w for ws in found for w in ws]
         if len(self.at) > MEMO:
             self._forget()
-        self._learn([w for w in dict.fromkeys(flat) if w not in self.at])
+        distinct = dict.fromkeys(flat)
+        self._learn([w for w in distinct if w not in self.at and len(w) <= LONGEST])
+        long = [w for w in distinct if len(w) > LONGEST]  # not remembered, as they have no bound
+        places = {w: -1 - i for i, w in enumerate(long)}
         sizes = np.array([len(ws) for ws in found], np.int64)
         total = np.repeat(self.model.prior[None], len(texts), 0)
         if flat and self.model.languages:
-            rows = self.rows[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))]
+            place = self.at.__getitem__ if not long else lambda w: places[w] if len(w) > LONGEST else self.at[w]
+            at = np.fromiter(map(place, flat), np.int64, len(flat))
+            rows = self.rows[at]
+            if long:
+                rows[at < 0] = log_sums(self.matcher, long, self.model.p)[-1 - at[at < 0]]
             some = np.flatnonzero(sizes)
             total[some] += np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.float64)
         if not self.model.languages:
@@ -194,19 +279,26 @@ def _pieces(path: str) -> tuple[str, ...]:
 
 
 def learn(docs: DataFrame, path: str, learn_from: Column, per_language: int = PER_LANGUAGE, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
-    """Fit on at most ``per_language`` texts of each language among rows ``learn_from``;
-    the prior is each language's share of all those rows."""
-    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """Fit on at most ``per_language`` texts of each language among rows ``learn_from``, in
+    order of a hash of the id, and of at most `CHARACTERS` characters a language; the prior is
+    each language's share of all those rows. Null ids, languages and texts teach nothing."""
+    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     prior = {r[0]: float(r[1]) for r in rows.groupBy(lang_col).agg(F.count("*")).collect()}
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    ids = rows.select(lang_col, id_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    ids = ids.select(id_col).distinct()  # at most per_language rows a language: small enough to broadcast
-    sample = rows.select(id_col, lang_col, text_col).join(F.broadcast(ids), id_col).select(lang_col, text_col)
+    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col), F.col("hash"))
+    keys = rows.select(lang_col, id_col, F.xxhash64(text_col).alias("hash"), F.length(text_col).alias("chars"))
+    chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    chosen = chosen.withColumn("sum", F.sum("chars").over(order)).where(F.col("sum") <= CHARACTERS)
+    # At most per_language rows a language, also where an id stands on many rows.
+    wanted = F.broadcast(chosen.select(lang_col, id_col, "hash").distinct())
+    sample = rows.select(id_col, lang_col, text_col, F.xxhash64(text_col).alias("hash")).join(wanted, [lang_col, id_col, "hash"])
+    sample = sample.dropDuplicates([lang_col, id_col, "hash"]).orderBy(lang_col, id_col, "hash").select(lang_col, text_col)
     counts: dict[str, dict[str, int]] = {}
     for lang, text in zip(*(c.to_pylist() for c in sample.toArrow().columns), strict=True):
         own = counts.setdefault(lang, {})
         for w in words_of(text):
-            own[w] = own.get(w, 0) + 1
+            for i in range(0, len(w), LONGEST):
+                part = w[i : i + LONGEST]
+                own[part] = own.get(part, 0) + 1
     return fit({k: v for k, v in counts.items() if v}, list(_pieces(path)), prior)
 
 
@@ -215,7 +307,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
     and its posterior probability. ``keep``: the columns to return beside them.
 
     Null texts and texts without a letter get ``und`` and 0; so does every text if the
-    model has no language. Only the text is looked at. Repeated rows and null ids are
+    model has no language. Of equally likely languages the first by name is taken. Texts and
+    runs of letters of any length are summed whole. Only the text is looked at. Repeated rows and null ids are
     answered row by row; columns named like the new ones are replaced; an empty table
     gives an empty result.
     """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import add_columns, small_batches
+from passagekit.llm.common import add_columns, sample_texts, small_batches
 
 #: Labelled texts sampled to train on (by a hash of their id).
 SAMPLE = 4000
@@ -173,11 +173,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on at most ``sample`` labelled rows among those ``learn_from`` (a condition on
-    the id); both the ids and their texts are bounded by it."""
+    the id), and on as many whole texts as keep within a bound of characters. Where an id has
+    several labels the largest counts."""
     known = labels.where(learn_from & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(id_col, F.col(label_col).cast("int").alias("label")).dropDuplicates([id_col])
+    known = known.select(id_col, F.col(label_col).cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).orderBy(id_col, text_col).limit(sample)
+    rows = sample_texts(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), sample, id_col, text_col)
     table = rows.select(text_col, "label").toArrow()
     return train(table.column(0).to_pylist(), table.column(1).to_pylist())
 

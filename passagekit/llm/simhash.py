@@ -297,7 +297,7 @@ def near_duplicates(
 
     ``component_id`` is the least id reachable over links of at most ``BITS`` bits, its
     own included; ids may be of any type that has an order, structs too. Null and wordless
-    texts have fingerprint zero, linked like any other.
+    texts have fingerprint zero, linked like any other; long texts count whole.
     Repeated rows stay repeated; rows with a null id take part and get the least non-null
     id of their component (null if there is none). An empty table gives an empty result.
     Columns beyond the two named are ignored.

@@ -104,7 +104,7 @@ def count_tokens(
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` per row: UTF-8 bytes and pieces of the text.
 
-    Null and empty texts count zero. Repeated rows, equal or null ids are counted row by
+    Null and empty texts count zero; texts of any length are counted whole. Repeated rows, equal or null ids are counted row by
     row; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import add_columns, small_batches
+from passagekit.llm.common import add_columns, sample_texts, small_batches
 
 #: Labelled texts sampled (by a hash of their id), lexicon voters, features of the classifier.
 SAMPLE, VOTERS, FEATURES = 4500, 200, 1500
@@ -195,14 +195,15 @@ def logistic(x: np.ndarray, target: np.ndarray, steps: int = STEPS, penalty: flo
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample`` labelled rows among those ``learn_from`` (a condition on
-    the id), a third of them of label 1 where there are as many."""
+    the id), a third of them of label 1 where there are as many, and as many whole texts as
+    keep within a bound of characters. Where an id has several labels the largest counts."""
     known = labels.where(learn_from & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(id_col, F.col(label_col).cast("int").alias("label")).dropDuplicates([id_col])
+    known = known.select(id_col, F.col(label_col).cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
     draw = lambda part, n: part.orderBy(F.xxhash64(id_col), id_col).limit(n)
     ones = {r.one: r.n for r in known.groupBy((F.col("label") == 1).alias("one")).agg(F.count("*").alias("n")).collect()}
     share = ones[True] / sum(ones.values()) if len(ones) == 2 else None
     chosen = draw(known.where("label = 1"), sample // 3).unionByName(draw(known.where("label <> 1"), sample - sample // 3))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).orderBy(id_col, text_col).limit(sample)
+    rows = sample_texts(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), sample, id_col, text_col)
     table = rows.select(text_col, "label").toArrow()
     return fit(table.column(0).to_pylist(), table.column(1).to_pylist(), share)
 
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     """``docs`` with ``score``: the probability that the whole text has label 1.
     ``keep``: the columns to return beside it.
 
-    Null, empty and wordless texts have no features and are scored by the bias (and what
+    Whole texts count, however long. Null, empty and wordless texts have no features and are scored by the bias (and what
     patterns they show). Only the text is looked at. Repeated rows and null ids are
     answered row by row; a column named like the new one is replaced; an empty table gives
     an empty result.

@@ -68,7 +68,47 @@ def test_learning_raises_the_likelihood():
 
 def test_words():
     assert L.words_of(None) == L.words_of("12 -- ² _") == []
-    assert L.words_of("Ab1c É\n" + "x" * 70) == ["ab", "c", "é", "x" * 32, "x" * 32, "x" * 6]
+    assert L.words_of("Ab1c É\n" + "x" * 70) == ["ab", "c", "é", "x" * 70]
+    assert L.words_of("हिन्दी भाषा 12 é") == ["हिन्दी", "भाषा", "é"] and L.words_of("\u0301 12") == []
+
+
+def test_whole_words_of_any_length(monkeypatch):
+    """The scaled sums agree with the plain ones, and go on from slab to slab."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.ones(len(PIECES)), 2).T
+    matcher = L.Matcher(PIECES)
+    found = ["", "a", "abab", "zz", "".join(rng.choice(list("abx"), 90)), "".join(rng.choice(list("ab"), 61)), "ba"]
+    match = matcher.find(found)
+    want = np.log(L.forward(*match, matcher.size, p)[np.arange(len(found)), match[0]])
+    for slab in (1 << 16, 7, 200):
+        monkeypatch.setattr(L, "SLAB", slab)
+        np.testing.assert_allclose(L.log_sums(matcher, found, p), want, rtol=1e-9)
+    long = L.log_sums(matcher, ["ab" * 4000], p)
+    assert np.isfinite(long).all() and (long < -300).all()
+
+
+def test_query_against_a_plain_scorer(spark):
+    """Every score again, from the fitted model by a dictionary of pieces and a sum over cuts."""
+    rng = random.Random(8)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 9)))
+    texts = [say("ab") for _ in range(20)] + [say("bxy") for _ in range(20)] + [None, "12", "ab" * 40]
+    model = L.fit({"l": {"ab": 4, "bab": 2}, "m": {"bxy": 3, "xb": 4}}, PIECES, {"l": 3.0, "m": 1.0})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(docs, model).collect()}
+
+    def total(word, k):
+        s, sums = L.MARK + word, [1.0]
+        table = {q: model.p[i, k] for i, q in enumerate(model.pieces)}
+        for i in range(1, len(s) + 1):
+            sums.append(sums[-1] * L.FLOOR + sum(sums[j] * table.get(s[j:i], 0.0) for j in range(i)))
+        return math.log(sums[-1])
+
+    for i, text in enumerate(texts):
+        ws = L.words_of(text)
+        logs = [model.prior[k] + sum(total(w, k) for w in ws) for k in range(2)]
+        best = 0 if logs[0] >= logs[1] else 1
+        assert got[i][0] == (model.languages[best] if ws else "und")
+        assert got[i][1] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs) if ws else 0.0, abs=1e-4)
 
 
 def test_query_on_invented_languages(spark, tmp_path):
