@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir`` (set here only where unset)."""
+    """A new folder name under ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder takes its place, but only on a local master: on a
+    cluster each executor would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="passagekit-")
         spark.sparkContext.setCheckpointDir(base)
