@@ -1,12 +1,10 @@
 """Matching of boxes within an image: overlaps, suppression, one-to-one assignments.
 
-The three assignments are sequential within an image and independent between images.
+The assignments are sequential within an image and independent between images.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,43 +81,28 @@ def match_boxes(truth: DataFrame, predictions: DataFrame, key: str = "image_id",
     return images.mapInArrow(run, images.schema).select(key, F.explode("e").alias("x")).select(key, "x.*")
 
 
-def greedy_by_class(predictions: list[tuple], truth: list[tuple], threshold: float = C.IOU) -> list[tuple[str, str]]:
-    """``(class, tp | fp | fn)`` events of one image from (class, confidence, box) and
-    (class, box): by falling confidence a prediction takes its class's best unused truth."""
-
-    def overlap(a, b):
-        both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-        return both / union if union else 0
-
-    free, events = dict(enumerate(truth)), []
-    for label, _, at in sorted(predictions, key=lambda p: -p[1]):
-        best = max(((overlap(at, other), i) for i, (name, other) in free.items() if name == label), default=(0, -1))
-        if best[0] >= threshold:
-            del free[best[1]]
-        events.append((label, "tp" if best[0] >= threshold else "fp"))
-    return events + [(label, "fn") for label, _ in free.values()]
-
-
 def match_by_class(predictions: DataFrame, truth: DataFrame, key: str = "image_id", threshold: float = C.IOU) -> DataFrame:
     """``(key, label, tp, fp, fn)``; inputs ``(key, ord, label, x1..y2)`` and, for
-    predictions, ``confidence``. Ties go to the later truth in order."""
-
-    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        def columns(d, *names):  # a side without rows may lack columns
-            if not len(d):
-                return []
-            d = d.sort_values("ord")
-            return list(zip(*(d[n] for n in names), d[list(_XY)].to_numpy(np.float64).tolist(), strict=True))
-
-        events = greedy_by_class(columns(p, "label", "confidence"), columns(t, "label"), threshold)
-        image = (p if len(p) else t)[key].iloc[0]
-        out = pd.DataFrame(events, columns=["label", "kind"])
-        counts = pd.crosstab(out["label"], out["kind"]).reindex(columns=["tp", "fp", "fn"], fill_value=0).reset_index()
-        counts.insert(0, key, image)
-        return counts
-
-    kind = predictions.schema[key].dataType.simpleString()
-    # Two sides cut from one table would share column identities, which pruning confuses.
-    truth = truth.select(*(F.expr(f"coalesce(`{c}`, NULL)").alias(c) for c in truth.columns))
-    return predictions.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(run, f"{key} {kind}, label string, tp bigint, fp bigint, fn bigint")
+    predictions, ``confidence``. By falling confidence (then order) a prediction takes what
+    is left of its class that overlaps it most and enough; of equal overlaps the later.
+
+    Only overlaps that count are joined. A prediction keeps its choices in order, and a fold
+    over a class's predictions gathers what is taken, all in the JVM.
+    """
+    p = predictions.select(key, "label", F.col("ord").alias("p_ord"), "confidence", *(F.col(c).alias(f"p_{c}") for c in _XY))
+    t = truth.select(key, "label", F.col("ord").alias("t_ord"), *(F.col(c).alias(f"t_{c}") for c in _XY))
+    near = p.join(t, [key, "label"]).withColumn("iou", G.iou(G.box("p_"), G.box("t_"))).where(F.col("iou") >= threshold)
+    choice = F.struct((-F.col("iou")).alias("far"), (-F.col("t_ord")).alias("t"))
+    choices = near.groupBy(key, "label", "p_ord", "confidence").agg(F.array_sort(F.collect_list(choice)).alias("c"))
+    turn = F.struct((-F.col("confidence")).alias("s"), "p_ord", F.transform("c", lambda x: x["t"]).alias("c"))
+    turns = choices.groupBy(key, "label").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+
+    def take(taken, one):
+        return F.concat(taken, F.slice(F.filter(one["c"], lambda x: ~F.array_contains(taken, x)), 1, 1))
+
+    nothing = F.slice(F.transform("turns", lambda x: x["c"][0]), 1, 0)
+    hits = turns.select(key, "label", F.size(F.aggregate("turns", nothing, take)).cast("bigint").alias("tp"))
+    both = predictions.select(key, "label", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(truth.select(key, "label", F.lit(0).alias("p"), F.lit(1).alias("t")))
+    sums = both.groupBy(key, "label").agg(F.sum("p").alias("p"), F.sum("t").alias("t")).join(hits, [key, "label"], "left")
+    tp = F.coalesce("tp", F.lit(0).cast("bigint"))
+    return sums.select(key, "label", tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("t") - tp).alias("fn"))

@@ -46,7 +46,19 @@ def leakage_split(t):
     return splits.by_seeded_order(splits.identities(_entries(t))).select("image_path", "leakage_group", "split")
 
 
-@query()
+@query(
+    _ENTRIES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, g AS (SELECT leakage_group, size, row_number() OVER (ORDER BY size DESC, sha256(concat('42:', leakage_group)), leakage_group) AS i
+  FROM (SELECT leakage_group, count(*) AS size FROM ids GROUP BY 1)),
+n AS (SELECT sum(size) * (1 - 0.15e0 - 0.15e0) AS wt, sum(size) * 0.15e0 AS wv, sum(size) * 0.15e0 AS ws FROM g),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS s, '' AS leakage_group, '' AS split
+  UNION ALL
+  SELECT i, t + CASE WHEN split = 'train' THEN size ELSE 0 END, v + CASE WHEN split = 'val' THEN size ELSE 0 END, s + CASE WHEN split = 'test' THEN size ELSE 0 END, leakage_group, split
+  FROM (SELECT g.i, w.t, w.v, w.s, g.size, g.leakage_group, CASE WHEN (wt - w.t) / wt >= (wv - w.v) / wv AND (wt - w.t) / wt >= (ws - w.s) / ws THEN 'train'
+    WHEN (wv - w.v) / wv >= (ws - w.s) / ws THEN 'val' ELSE 'test' END AS split FROM walk w JOIN g ON g.i = w.i + 1, n))
+SELECT image_path, leakage_group, split FROM ids JOIN (SELECT leakage_group, split FROM walk WHERE i > 0) USING (leakage_group)"""
+)
 def greedy_group_assign(t):
     return splits.by_filling(splits.identities(_entries(t))).select("image_path", "leakage_group", "split")
 

@@ -71,7 +71,24 @@ def max_matching(t):
     return matching.match_boxes(t.fx_truth, t.fx_plate)
 
 
-@query()
+@query(
+    """, r AS (SELECT image_id, event_id AS ord, slot, CASE WHEN k % 3 = 0 THEN 'car' ELSE 'bus' END AS label, k / 1e2 AS confidence,
+  (k*7 + slot*3) % 200 AS x1, k % 50 AS y1, (k*7 + slot*3) % 200 + 60 AS x2, k % 50 + 60 AS y2 FROM ev),
+pairs AS (SELECT p.image_id, p.label, p.ord, p.confidence, v.ord AS t, """
+    + _IOU
+    + """ AS iou FROM r p JOIN r v ON p.image_id = v.image_id AND p.label = v.label AND p.slot < 3 AND v.slot >= 3),
+turns AS (SELECT image_id, label, row_number() OVER (PARTITION BY image_id, label ORDER BY confidence DESC, ord) AS i, c FROM
+  (SELECT image_id, label, ord, confidence, list(t ORDER BY iou DESC, t DESC) AS c FROM pairs WHERE iou >= 0.5 GROUP BY ALL)),
+walk AS (
+  SELECT DISTINCT image_id, label, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken FROM turns
+  UNION ALL
+  SELECT w.image_id, w.label, t.i, list_concat(w.taken, list_filter(t.c, lambda x: NOT list_contains(w.taken, x))[1:1])
+  FROM walk w JOIN turns t ON t.image_id = w.image_id AND t.label = w.label AND t.i = w.i + 1),
+hits AS (SELECT image_id, label, len(arg_max(taken, i)) AS tp FROM walk GROUP BY 1, 2)
+SELECT image_id, label, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE slot < 3) - coalesce(tp, 0) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE slot >= 3) - coalesce(tp, 0) AS BIGINT) AS fn FROM r LEFT JOIN hits USING (image_id, label) GROUP BY image_id, label, tp""",
+    "ev",
+)
 def greedy_class_match(t):
     label = F.when(F.col("k") % 3 == 0, "car").otherwise("bus")
     box = [((F.col("k") * 7 + F.col("slot") * 3) % 200).alias("x1"), (F.col("k") % 50).alias("y1"), ((F.col("k") * 7 + F.col("slot") * 3) % 200 + 60).alias("x2"), (F.col("k") % 50 + 60).alias("y2")]
@@ -172,7 +189,23 @@ def select_candidate(t):
     return select.select_reading(regions, "image_id")
 
 
-@query()
+@query(
+    """, b AS (SELECT image_id, {'x1': x1, 'y1': y1, 'y2': y2, 'i': region_id} AS b, row_number() OVER (PARTITION BY image_id ORDER BY (y1 + y2) / 2, ord) AS i FROM fx_region),
+walk AS (
+  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(n INTEGER, t DOUBLE, b DOUBLE, top DOUBLE, m STRUCT(x DOUBLE, i BIGINT, r BIGINT)[])[]) AS l FROM fx_region
+  UNION ALL
+  SELECT image_id, i, CASE WHEN coalesce(list_max(o), 0) >= 0.5
+    THEN list_transform(l, lambda x, j: CASE WHEN j = list_position(o, list_max(o))
+      THEN {'n': x.n + 1, 't': x.t + b.y1, 'b': x.b + b.y2, 'top': least(x.top, b.y1), 'm': list_append(x.m, {'x': b.x1, 'i': i, 'r': b.i})} ELSE x END)
+    ELSE list_append(l, {'n': 1, 't': b.y1, 'b': b.y2, 'top': b.y1, 'm': [{'x': b.x1, 'i': i, 'r': b.i}]}) END
+  FROM (SELECT w.image_id, b.i, w.l, b.b, list_transform(w.l, lambda x: greatest(0, least(x.b / x.n, b.b.y2) - greatest(x.t / x.n, b.b.y1)) / greatest(1, least(x.b / x.n - x.t / x.n, b.b.y2 - b.b.y1))) AS o
+    FROM walk w JOIN b ON b.image_id = w.image_id AND b.i = w.i + 1)),
+lines AS (SELECT image_id, unnest(l) AS x, generate_subscripts(l, 1) AS line FROM (SELECT image_id, arg_max(l, i) AS l FROM walk GROUP BY 1)),
+m AS (SELECT image_id, x.top AS top, line, unnest(x.m) AS m FROM lines),
+placed AS (SELECT m.r AS region_id, row_number() OVER (PARTITION BY image_id ORDER BY top, line, m.x, m.i) - 1 AS place FROM m)
+SELECT f.* REPLACE (CAST(place AS INTEGER) AS ord) FROM fx_region f JOIN placed USING (region_id)""",
+    "fx_region",
+)
 def ordered_regions(t):
     return select.order_regions(t.fx_region, "image_id")
 
