@@ -82,15 +82,13 @@ def test_groups_over_all_kinds_of_links(spark):
     assert [r.pixel_sha256 for r in grouping.conflicting_copies(copies).collect()] == ["h"]
 
 
-def test_names_of_large_groups(spark, monkeypatch):
+def test_names_of_groups(spark):
     members = spark.createDataFrame([(1, f"h{i % 50}") for i in range(120)] + [(2, "a"), (2, "b"), (2, "a")], "root int, pixel_sha256 string")
     import hashlib
 
-    small = {r.root: r.leakage_group for r in grouping._names(members).collect()}
-    assert small[2] == hashlib.sha256(b"a\nb").hexdigest()
-    monkeypatch.setattr(grouping, "TOGETHER", 10)
-    large = {r.root: r.leakage_group for r in grouping._names(members).collect()}
-    assert large[2] == small[2] and large[1] != small[1] and len(large[1]) == 64
+    names = {r.root: r.leakage_group for r in grouping._names(members).collect()}
+    assert names[2] == hashlib.sha256(b"a\nb").hexdigest()
+    assert names[1] == hashlib.sha256("\n".join(sorted(f"h{i}" for i in range(50))).encode()).hexdigest()
 
 
 def test_one_name_at_every_size(spark):
