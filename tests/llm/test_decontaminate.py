@@ -81,7 +81,7 @@ def test_words_match_the_pattern():
     assert spaced == [len((t or "").encode().split()) for t in texts]
 
 
-def test_operator_in_one_block_and_in_several(spark):
+def test_operator_by_index_and_by_join(spark):
     items, docs = case(11, 40)
     rows = [(i if i else None, t, 7) for i, t in enumerate(docs)] * 2
     table = spark.createDataFrame(rows, "doc_id bigint, text string, items int")
@@ -92,6 +92,18 @@ def test_operator_in_one_block_and_in_several(spark):
         for r in got:
             n, want, ids = brute(r.text, items)
             assert (r.n_words, [p for h in r.hits for p in range(h.start, h.stop)], r.items) == (n, want, ids)
-    none = D.contamination(table, tests.where("item_id = -1")).collect()
-    assert all(r.hits == [] and r.items == [] for r in none)
-    assert D.contamination(table.where("doc_id < -1"), tests).collect() == []
+    for size in (D.BLOCK_CHARS, -1):
+        none = D.contamination(table, tests.where("item_id = -1"), block_chars=size).collect()
+        assert len(none) == len(rows) and all(r.hits == [] and r.items == [] for r in none)
+        assert D.contamination(table.where("doc_id < -1"), tests, block_chars=size).collect() == []
+
+
+def test_join_sends_a_share_of_the_kept_hashes(spark):
+    """Of texts that share nothing with the test set hardly a hash gets past the bit table."""
+    rng = random.Random(5)
+    say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    tests = spark.createDataFrame([(str(i), say(30)) for i in range(50)], "item string, text string")
+    texts = spark.createDataFrame([(bytes([i]), say(500)) for i in range(40)], "key binary, text string")
+    kept = D._item_rows(tests)
+    assert {r.kind for r in kept.collect()} == {D.K}
+    assert D._text_rows(texts, [D.K], D._bits(kept)).count() < 10
