@@ -108,6 +108,12 @@ def transitions(before: DataFrame, after: DataFrame, on: list[str], value: str =
     return df.groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def status_counts(readings: DataFrame, *by: str) -> DataFrame:
+    """How many readings have each status, over all or by columns; a null or other status
+    counts in none."""
+    return readings.groupBy(*by).agg(*(count_where(F.col("status") == s).alias(s) for s in ("accepted", "uncertain", "unreadable")))
+
+
 def map_sum(df: DataFrame, column: str) -> DataFrame:
     """Sums a map of counters key by key: ``(key, total)``."""
     return df.select(F.explode(column).alias("key", "value")).groupBy("key").agg(F.sum("value").cast("bigint").alias("total"))

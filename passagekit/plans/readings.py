@@ -166,12 +166,12 @@ def choose_reading(t):
     return select.choose_reading(t.fx_reading, ["image_id", "plate_id"]).withColumn("selection_score", F.round("selection_score", 9))
 
 
-_CLEANED = """, c AS (SELECT image_id, ord, least(1, greatest(0, conf)) AS conf, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS text FROM fx_region),
+CLEANED = """, c AS (SELECT image_id, ord, least(1, greatest(0, conf)) AS conf, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS text FROM fx_region),
 g AS (SELECT image_id, text, conf, row_number() OVER (PARTITION BY image_id ORDER BY ord) - 1 AS i FROM c WHERE text NOT IN ('', 'IND'))"""
 
 
 @query(
-    _CLEANED
+    CLEANED
     + """, n AS (SELECT image_id, count(*) AS n, sum(CASE WHEN length(text) <= 4 THEN 1 ELSE 0 END) AS short FROM g GROUP BY 1),
 s AS (SELECT a.image_id, a.i AS start, b.i + 1 AS stop, string_agg(m.text, '' ORDER BY m.i) AS text, min(m.conf) AS confidence, sum(CASE WHEN length(m.text) <= 4 THEN 1 ELSE 0 END) AS own
   FROM g a JOIN g b ON a.image_id = b.image_id AND a.i <= b.i JOIN g m ON m.image_id = a.image_id AND m.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3)
