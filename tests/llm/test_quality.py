@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from passagekit.llm import quality as Q
 from passagekit.llm import queries
+from passagekit.llm.common import remainder
 
 
 def plain(net, text):
@@ -72,6 +74,11 @@ def test_query_learns_and_generalises(spark, tmp_path):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    net = Q.learn(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels")), ~held_out)
+    text = {i: t for i, t, _ in docs}
+    some = got[::40] + [r for r in got if r.doc_id is None or r.doc_id >= 1000]
+    np.testing.assert_allclose([r.score for r in some], [plain(net, text[r.doc_id] or "") for r in some], atol=2e-4)
     good = {i: "***" not in t for i, t, _ in docs if i is not None and t}
     assert np.mean([r.predicted == good[r.doc_id] for r in held]) > 0.95
     assert Q.classify(spark.createDataFrame([], "doc_id bigint, text string"), Q.train([], [])).collect() == []

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from passagekit.llm import queries
 from passagekit.llm import toxicity as T
+from passagekit.llm.common import remainder
 
 
 def posterior(m, row):
@@ -17,6 +20,18 @@ def posterior(m, row):
     return 1 / (1 + np.exp(-odds))
 
 
+def plain(m, text):
+    """A text's score from the model's weights, word by word and stem by stem."""
+    ws, x, seen = re.findall(r"[^\W\d_]+", (text or "").lower()), m.bias, set()
+    for w in ws:
+        seen |= {w + "$", *(w[:n] for n in T.STEMS if n < len(w))}
+    for t in seen:
+        x += m.weights.get(t, 0.0)
+    for w, (_, fires) in zip(m.patterns, T.PATTERNS, strict=True):
+        x += w * bool(fires(text or "", ws))
+    return 1 / (1 + np.exp(-x))
+
+
 def test_label_model_finds_rates_and_dependence_without_labels():
     rng = np.random.default_rng(1)
     y = rng.random(6000) < 0.2
@@ -59,6 +74,10 @@ def test_query_learns_words_and_stems_and_generalises(spark, tmp_path):
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert held and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    m = T.learn(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels")), ~held_out)
+    text = {i: t for i, t, _ in docs}
+    np.testing.assert_allclose([r.score for r in got], [plain(m, text[r.doc_id]) for r in got], rtol=1e-6, atol=1e-9)
     by = {r.doc_id: r.predicted for r in got}
     assert (by[2000], by[2001], by[None], by[2003]) == (0, 0, 1, 1)
 
