@@ -104,12 +104,12 @@ def variant_cross_join(t):
 
 
 @query(
-    f"""WITH e AS (SELECT doc_id // 4 AS source_id, {_SPLIT.format('(doc_id // 4)')} AS split, CASE doc_id % 4 WHEN 0 THEN 'clear' ELSE 'rain' END AS condition, CAST(doc_id % 4 AS VARCHAR) AS severity, CAST(doc_id AS VARCHAR) AS image_path FROM documents WHERE doc_id % 28 <> 0)
+    f"""WITH e AS (SELECT doc_id // 4 AS source_id, {_SPLIT.format('(doc_id // 4)')} AS split, CASE WHEN doc_id % 28 = 0 THEN 'haze' WHEN doc_id % 4 = 0 THEN 'clear' ELSE 'rain' END AS condition, CAST(doc_id % 4 AS VARCHAR) AS severity, CAST(doc_id AS VARCHAR) AS image_path FROM documents)
 SELECT a.source_id, a.split, a.severity, a.image_path AS degraded, b.image_path AS clear FROM e a LEFT JOIN e b ON b.condition = 'clear' AND a.source_id = b.source_id AND a.split = b.split WHERE a.condition = 'rain'"""
 )
 def pair_clear_degraded(t):
-    rows = t.documents.where("doc_id % 28 <> 0").selectExpr(
-        "doc_id div 4 AS source_id", _SPLIT.format("(doc_id div 4)") + " AS split", "CASE doc_id % 4 WHEN 0 THEN 'clear' ELSE 'rain' END AS condition", "CAST(doc_id % 4 AS STRING) AS severity", "CAST(doc_id AS STRING) AS image_path"
+    rows = t.documents.selectExpr(
+        "doc_id div 4 AS source_id", _SPLIT.format("(doc_id div 4)") + " AS split", "CASE WHEN doc_id % 28 = 0 THEN 'haze' WHEN doc_id % 4 = 0 THEN 'clear' ELSE 'rain' END AS condition", "CAST(doc_id % 4 AS STRING) AS severity", "CAST(doc_id AS STRING) AS image_path"
     )
     return splits.clear_pairs(rows, "rain")
 
@@ -166,14 +166,24 @@ def components(t):
 
 
 @query(
-    _LINKS
-    + """, root AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1), name AS (SELECT root, sha256(string_agg(DISTINCT md5(text), chr(10) ORDER BY md5(text))) AS leakage_group FROM root JOIN documents USING (doc_id) GROUP BY 1)
+    """WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS p, concat_ws('|', lang, CAST(n_chars AS VARCHAR)) AS s, CASE WHEN doc_id % 10 = 0 THEN concat('KA01AB', lpad(CAST(doc_id // 20 AS VARCHAR), 4, '0')) END AS plate,
+  CASE WHEN doc_id % 2 = 0 THEN xor((doc_id // 5) * 2654435761, CAST(1 AS BIGINT) << CAST(doc_id % 20 + 30 AS INTEGER)) END AS h FROM documents),
+same AS (SELECT doc_id AS a, unnest([min(doc_id) OVER (PARTITION BY p), min(doc_id) OVER (PARTITION BY s), CASE WHEN plate IS NOT NULL THEN min(doc_id) OVER (PARTITION BY plate) END,
+  CASE WHEN h IS NOT NULL THEN min(doc_id) OVER (PARTITION BY h) END]) AS b FROM d),
+near AS (SELECT x.a, y.a AS b FROM (SELECT h, min(doc_id) AS a FROM d WHERE h IS NOT NULL GROUP BY h) x JOIN (SELECT h, min(doc_id) AS a FROM d WHERE h IS NOT NULL GROUP BY h) y ON x.a < y.a AND bit_count(xor(x.h, y.h)) <= 4),
+one AS (SELECT a, b FROM same WHERE b IS NOT NULL AND a <> b UNION SELECT a, b FROM near),
+e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+root AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1), name AS (SELECT root, sha256(string_agg(DISTINCT p, chr(10) ORDER BY p)) AS leakage_group FROM root JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, root, leakage_group FROM root JOIN name USING (root)"""
 )
 def leakage_groups(t):
+    # All four kinds of links; a text that is no plausible plate links nothing.
+    plate = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("KA01AB"), F.lpad(F.expr("doc_id div 20").cast("string"), 4, "0"))).otherwise("plate")
     rows = t.documents.select(
-        F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("pixel_sha256"), F.lit(None).cast("bigint").alias("dhash"), F.expr("cast(array() as array<string>)").alias("identities"), F.concat_ws("|", "lang", F.col("n_chars").cast("string")).alias("sequence")
-    )
+        F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("pixel_sha256"), F.concat_ws("|", "lang", F.col("n_chars").cast("string")).alias("sequence"),
+        F.expr("CASE WHEN doc_id % 2 = 0 THEN ((doc_id div 5) * 2654435761L) ^ shiftleft(1L, cast(doc_id % 20 + 30 as int)) END").alias("dhash"), F.array(plate).alias("identities"),
+    )
     return grouping.leakage_groups(rows).withColumnRenamed("id", "doc_id")
 
 
@@ -190,11 +200,16 @@ def _hashed(t):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, md5(text) AS h, {_SPLIT.format('doc_id')} AS split FROM documents)
-SELECT DISTINCT doc_id AS image_path FROM d WHERE split = 'test' AND h IN (SELECT h FROM d WHERE split <> 'test')"""
+    f"""WITH d AS (SELECT doc_id, {_SPLIT.format('doc_id')} AS split, concat('s', doc_id // 9) AS s, concat('g', lang, n_chars) AS g, md5(text) AS p,
+  md5(concat('a', CAST(doc_id // 8 AS VARCHAR))) AS a, md5(concat('a', CAST(doc_id // 5 AS VARCHAR))) AS c FROM documents),
+k AS (SELECT doc_id, split, unnest([concat('s', s), concat('g', g), concat('p', p), concat('a', a), concat('a', c)]) AS k FROM d)
+SELECT DISTINCT doc_id AS image_path FROM k WHERE split = 'test' AND k IN (SELECT k FROM k WHERE split <> 'test')"""
 )
 def leakage_semi_join(t):
-    rows = _hashed(t).drop("source_id", "duplicate_source_sha256")
+    rows = t.documents.selectExpr(
+        "doc_id AS image_path", _SPLIT.format("doc_id") + " AS split", "concat('s', doc_id div 9) AS source_id", "concat('g', lang, n_chars) AS leakage_group", "md5(cast(text AS binary)) AS pixel_sha256",
+        "md5(concat('a', doc_id div 8)) AS source_sha256", "array(md5(concat('a', doc_id div 5)), NULL) AS duplicate_source_sha256",
+    )
     return provenance.leaked(rows.where("split = 'test'"), provenance.seen(rows))
 
 
@@ -207,9 +222,9 @@ def provenance_sets(t):
     return provenance.seen(_hashed(t))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def resume_anti_join(t):
-    return provenance.remaining(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return provenance.remaining(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT 'left' AS side, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) UNION ALL SELECT 'right', c_custkey FROM customer WHERE c_nationkey <> 3 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")

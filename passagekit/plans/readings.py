@@ -183,14 +183,8 @@ def span_enumeration(t):
     return select.spans(regions, "image_id").withColumn("penalty", F.round("penalty", 9))
 
 
-@query()
-def select_candidate(t):
-    regions = select.order_regions(select.clean_regions(t.fx_region), "image_id")
-    return select.select_reading(regions, "image_id")
-
-
-@query(
-    """, b AS (SELECT image_id, {'x1': x1, 'y1': y1, 'y2': y2, 'i': region_id} AS b, row_number() OVER (PARTITION BY image_id ORDER BY (y1 + y2) / 2, ord) AS i FROM fx_region),
+#: Places of the regions of ``fx_region`` in reading order.
+_PLACED = """, b AS (SELECT image_id, {'x1': x1, 'y1': y1, 'y2': y2, 'i': region_id} AS b, row_number() OVER (PARTITION BY image_id ORDER BY (y1 + y2) / 2, ord) AS i FROM fx_region),
 walk AS (
   SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(n INTEGER, t DOUBLE, b DOUBLE, top DOUBLE, m STRUCT(x DOUBLE, i BIGINT, r BIGINT)[])[]) AS l FROM fx_region
   UNION ALL
@@ -202,15 +196,87 @@ walk AS (
     FROM walk w JOIN b ON b.image_id = w.image_id AND b.i = w.i + 1)),
 lines AS (SELECT image_id, unnest(l) AS x, generate_subscripts(l, 1) AS line FROM (SELECT image_id, arg_max(l, i) AS l FROM walk GROUP BY 1)),
 m AS (SELECT image_id, x.top AS top, line, unnest(x.m) AS m FROM lines),
-placed AS (SELECT m.r AS region_id, row_number() OVER (PARTITION BY image_id ORDER BY top, line, m.x, m.i) - 1 AS place FROM m)
-SELECT f.* REPLACE (CAST(place AS INTEGER) AS ord) FROM fx_region f JOIN placed USING (region_id)""",
-    "fx_region",
-)
+placed AS (SELECT m.r AS region_id, row_number() OVER (PARTITION BY image_id ORDER BY top, line, m.x, m.i) - 1 AS place FROM m)"""
+
+
+@query(_PLACED + "\nSELECT f.* REPLACE (CAST(place AS INTEGER) AS ord) FROM fx_region f JOIN placed USING (region_id)", "fx_region")
 def ordered_regions(t):
     return select.order_regions(t.fx_region, "image_id")
 
 
-@query()
+_FITS = r"""p(template, base) AS (VALUES {templates}),
+swapped(letter, digit) AS (VALUES {confused}),
+c AS (SELECT chr(CAST(i AS INTEGER)) AS have, 'L' AS due, chr(CAST(i AS INTEGER)) AS may FROM range(65, 91) r(i) UNION ALL SELECT CAST(i AS VARCHAR), 'D', CAST(i AS VARCHAR) FROM range(0, 10) r(i)
+  UNION ALL SELECT letter, 'D', digit FROM swapped UNION ALL SELECT digit, 'L', letter FROM swapped),
+made AS (
+  SELECT text, template, base, 0 AS i, '' AS proposal FROM t JOIN p ON length(text) = length(template)
+  UNION ALL SELECT text, template, base, i + 1, proposal || may FROM made JOIN c ON have = substring(text, i + 1, 1) AND due = substring(template, i + 1, 1)),
+scored AS (SELECT text, proposal, greatest(0, base - 0.08e0 * len(list_filter(range(1, length(text) + 1), lambda j: regexp_matches(substring(text, j, 1), '[A-Z]') <> (substring(template, j, 1) = 'L')))) AS score
+  FROM made WHERE i = length(text) UNION ALL SELECT text, text, 0.7e0 FROM t WHERE regexp_matches(text, '{layout}')),
+best AS (SELECT text, proposal, max(score) AS score FROM scored GROUP BY 1, 2),
+own AS (SELECT text, score AS own FROM best WHERE proposal = text AND regexp_matches(text, '{layout}')),
+fits AS (SELECT text, proposal, CASE WHEN own IS NULL OR proposal = text THEN score ELSE least(score, greatest(0, own - 0.08e0)) END AS score FROM best LEFT JOIN own USING (text))""".format(
+    templates=", ".join(f"('{x}', {C.WEAK_SCORE if x == C.WEAK_TEMPLATE else C.FULL_SCORE}::DOUBLE)" for x in C.TEMPLATES),
+    confused=", ".join(f"('{a}', '{b}')" for a, b in C.CONFUSED.items()),
+    layout=C.REVIEW_LAYOUT,
+)
+
+
+@query(
+    """, cl AS (SELECT image_id, region_id, ord, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS text, least(1, greatest(0, conf)) AS conf, x1, y1, x2, y2 FROM fx_region
+  WHERE regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') NOT IN ('', 'IND'))"""
+    + _PLACED.replace("fx_region", "cl")
+    + """, g AS (SELECT image_id, text, conf, place AS i FROM cl JOIN placed USING (region_id)),
+whole AS (SELECT image_id, string_agg(text, '' ORDER BY i) AS literal, min(conf) AS least, count(*) FILTER (WHERE length(text) <= 4) AS short FROM g GROUP BY 1),
+s AS (SELECT a.image_id, a.i * 1000 + z.i + 1 AS o, string_agg(m.text, '' ORDER BY m.i) AS text, min(m.conf) AS conf, count(*) FILTER (WHERE length(m.text) <= 4) AS own
+  FROM g a JOIN g z ON a.image_id = z.image_id AND a.i <= z.i JOIN g m ON m.image_id = a.image_id AND m.i BETWEEN a.i AND z.i GROUP BY a.image_id, a.i, z.i),
+span AS (SELECT image_id, o, text, conf, 0.08e0 * (short - own) AS penalty FROM s JOIN whole USING (image_id) WHERE length(text) <= 14),
+t AS (SELECT DISTINCT text FROM span),
+"""
+    + _FITS
+    + """, l AS (SELECT image_id, text, min(o) AS first, arg_max({'c': conf, 'p': penalty}, (conf - penalty, -o)) AS e FROM span WHERE regexp_matches(text, '"""
+    + C.REVIEW_LAYOUT
+    + """') GROUP BY 1, 2),
+f AS (SELECT image_id, proposal, arg_max({'raw': text, 'f': score, 'c': conf, 's': greatest(0, conf * score - penalty)}, (greatest(0, conf * score - penalty), -o)) AS h
+  FROM span JOIN fits USING (text) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY h.s DESC, proposal) AS i FROM f),
+evidence AS (SELECT image_id, string_agg(concat(text, ':', CAST(round(e.c * 1e6) AS BIGINT), ':', CAST(round(e.p * 1e6) AS BIGINT)), ',' ORDER BY first) AS evidence FROM l GROUP BY 1),
+options AS (SELECT image_id, string_agg(concat(proposal, ':', CAST(round(h.s * 1e6) AS BIGINT)), ',' ORDER BY i) AS options FROM r WHERE i <= 5 GROUP BY 1),
+against AS (SELECT r.image_id, string_agg(DISTINCT l.text, ',' ORDER BY l.text) AS against FROM r JOIN l ON l.image_id = r.image_id AND r.i = 1 AND l.text <> r.proposal
+  AND NOT contains(l.text, r.proposal) AND NOT contains(r.proposal, l.text) AND l.e.c >= 0.8e0 AND r.h.c - l.e.c < 0.08e0 AND l.e.p = 0 GROUP BY 1),
+j AS (SELECT w.*, b.proposal, b.h, b.image_id IS NOT NULL AS has, regexp_matches(literal, '^[A-Z]{2}[A-Z0-9]{3,12}$') AND regexp_matches(literal, '[0-9]') AS kept,
+    coalesce(b.h.s - n.h.s < 0.08e0, false) AS close, against, evidence, options
+  FROM whole w LEFT JOIN r b ON b.image_id = w.image_id AND b.i = 1 LEFT JOIN r n ON n.image_id = w.image_id AND n.i = 2
+  LEFT JOIN against ON against.image_id = w.image_id LEFT JOIN evidence ON evidence.image_id = w.image_id LEFT JOIN options ON options.image_id = w.image_id),
+v AS (SELECT *, has AND NOT close AND against IS NULL AND h.c >= 0.8e0 AND h.s >= 0.75e0 AND h.f >= 0.84e0 AS ok FROM j)
+SELECT image_id, CASE WHEN ok THEN proposal ELSE '' END AS plate_text, CASE WHEN has THEN proposal WHEN kept THEN literal ELSE '' END AS proposed_text,
+  CASE WHEN ok THEN 'accepted' WHEN has OR kept THEN 'uncertain' ELSE 'unreadable' END AS status,
+  CASE WHEN against IS NOT NULL THEN 'conflicting_literal_readings' WHEN close THEN 'ambiguous_interpretations' WHEN has AND NOT ok THEN 'reading_requires_review' WHEN NOT has AND kept THEN 'unsupported_layout' END AS review_reason,
+  round(CASE WHEN has THEN h.f ELSE 0 END, 9) AS format_score, round(CASE WHEN has THEN h.c WHEN kept THEN least ELSE 0 END, 9) AS ocr_confidence,
+  round(CASE WHEN has THEN h.s WHEN kept THEN least * 0.4e0 ELSE 0 END, 9) AS selection_score, h.raw AS raw_text,
+  proposal = h.raw AND regexp_matches(h.raw, '"""
+    + C.REVIEW_LAYOUT
+    + """') AS literal_layout, coalesce(evidence, '') AS literal_evidence,
+  CASE WHEN has THEN options WHEN kept THEN concat(literal, ':', CAST(round(least * 0.4e0 * 1e6) AS BIGINT)) ELSE '' END AS alternatives, CASE WHEN has THEN coalesce(against, '') END AS conflicting_texts FROM v""",
+    "fx_region",
+)
+def select_candidate(t):
+    regions = select.order_regions(select.clean_regions(t.fx_region), "image_id")
+    out = select.select_reading(regions, "image_id")
+    # Lists as texts of their items, numbers in millionths, so that every column is compared.
+    shown = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["text"], *(F.round(x[f] * 1e6).cast("bigint").cast("string") for f in fields))), ",")
+    lists = {"literal_evidence": shown("literal_evidence", "ocr_confidence", "omission_penalty"), "alternatives": shown("alternatives", "selection_score"), "conflicting_texts": F.array_join("conflicting_texts", ",")}
+    return out.withColumns(lists | {c: F.round(c, 9) for c in ("format_score", "ocr_confidence", "selection_score")})
+
+
+@query(
+    """, x AS (SELECT proposed_text AS text FROM fx_observation UNION SELECT regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') FROM fx_region),
+t AS (SELECT text FROM x WHERE text NOT IN ('', 'IND')),
+"""
+    + _FITS
+    + " SELECT text, proposal, round(score, 9) AS score FROM fits",
+    "fx_observation", "fx_region",
+)
 def template_fits(t):
     texts = t.fx_observation.select(F.col("proposed_text").alias("text")).unionByName(select.clean_regions(t.fx_region).select("text"))
     return T.template_fits(texts).withColumn("score", F.round("score", 9))
