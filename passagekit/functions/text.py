@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekit import constants as C
@@ -106,28 +106,50 @@ def substitutions(text: Column, template: Column) -> Column:
     return hamming(kind, template)
 
 
-def template_fits(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``(column, proposal, score)`` of the distinct cleaned texts of a column: each plate a
-    text may stand for, with the best score over the templates.
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fits(text: Column) -> Column:
+    """Array of (proposal, score): each plate a cleaned text may stand for, once, with its
+    score. Empty for a null text or one that fits nothing.
 
     Substitutions cost; a text that is a review layout as it stands is a fit itself, and no
-    other reading may come closer to it than a margin. Texts without a fit have no row.
+    other reading may come closer to it than a margin.
     """
-    t, pattern = F.col(column), F.col("template")
-    names = F.array(*map(F.lit, C.TEMPLATES))
-    each = texts.select(t).where(t.isNotNull()).distinct().select(t, F.explode(names).alias("template")).where(F.length(t) == F.length(pattern))
-    base = F.when(pattern == C.WEAK_TEMPLATE, C.WEAK_SCORE).otherwise(C.FULL_SCORE)
-    score = F.greatest(F.lit(0.0), base - C.SUBSTITUTION_COST * substitutions(t, pattern))
-    made = each.select(t, score.alias("score"), F.explode(proposals(t, pattern)).alias("proposal"))
-    literal = texts.select(t).where(is_review_layout(t)).distinct().select(t, F.lit(C.WEAK_SCORE).alias("score"), t.alias("proposal"))
-    best = made.unionByName(literal).groupBy(column, "proposal").agg(F.max("score").alias("score"))
-    own = F.max(F.when(is_review_layout(t) & (F.col("proposal") == t), F.col("score"))).over(Window.partitionBy(column))
-    capped = F.least(F.col("score"), F.greatest(F.lit(0.0), F.col("own") - C.LITERAL_MARGIN))
-    return best.withColumn("own", own).select(column, "proposal", F.when(F.col("own").isNull() | (F.col("proposal") == t), F.col("score")).otherwise(capped).alias("score"))
-
-
-def best_template_fits(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``(column, fit, fit_score)``: the one best fit of each text; none where two tie."""
-    w = Window.partitionBy(column).orderBy(F.desc("score"), "proposal")
-    ranked = template_fits(texts, column).withColumns({"i": F.row_number().over(w), "next": F.lead("score").over(w)})
-    return ranked.where((F.col("i") == 1) & ~F.coalesce(F.col("next") == F.col("score"), F.lit(False))).select(column, F.col("proposal").alias("fit"), F.col("score").alias("fit_score"))
+    none = F.expr("cast(array() as array<struct<proposal string, score double>>)")
+    option = lambda proposal, score: F.struct(proposal.alias("proposal"), score.cast("double").alias("score"))
+
+    def by_template(pattern):
+        base = F.when(pattern == C.WEAK_TEMPLATE, C.WEAK_SCORE).otherwise(C.FULL_SCORE)
+        score = F.greatest(F.lit(0.0), base - C.SUBSTITUTION_COST * substitutions(text, pattern))
+        return _named(score, lambda s: F.transform(proposals(text, pattern), lambda p: option(p, s)))
+
+    patterns = F.filter(F.array(*map(F.lit, C.TEMPLATES)), lambda p: F.length(p) == F.length(text))
+    made = F.flatten(F.transform(patterns, by_template))
+
+    def beside_itself(all_):
+        scores = F.transform(F.filter(all_, lambda x: x["proposal"] == text), lambda x: x["score"])
+        own = F.greatest(F.lit(C.WEAK_SCORE), F.array_max(scores))
+        rest = F.filter(all_, lambda x: x["proposal"] != text)
+        most = lambda o: F.greatest(F.lit(0.0), o - C.LITERAL_MARGIN)
+        return _named(own, lambda o: F.concat(F.transform(rest, lambda x: option(x["proposal"], F.least(x["score"], most(o)))), F.array(option(text, o))))
+
+    return _named(made, lambda all_: F.when(is_review_layout(text), beside_itself(all_)).otherwise(F.coalesce(all_, none)))
+
+
+def best_fit(text: Column) -> Column:
+    """The one fit with the best score, as (proposal, score); null without a fit or where two tie."""
+
+    def only_best(all_):
+        top = F.array_max(F.transform(all_, lambda x: x["score"]))
+        return _named(top, lambda t: _named(F.filter(all_, lambda x: x["score"] == t), lambda best: F.when(F.size(best) == 1, F.get(best, F.lit(0)))))
+
+    return _named(fits(text), only_best)
+
+
+def template_fits(texts: DataFrame, column: str = "text") -> DataFrame:
+    """``(column, proposal, score)`` of the distinct cleaned texts of a column, a row per fit."""
+    each = texts.select(column).where(F.col(column).isNotNull()).distinct().select(column, F.explode(fits(F.col(column))).alias("f"))
+    return each.select(column, "f.proposal", "f.score")

@@ -77,9 +77,8 @@ def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "t
     gap = (F.col("n.s") - F.col("b.s")) / F.greatest(F.lit(1e-6), -F.col("b.s"))
     conflict = F.col("n").isNotNull() & (gap < C.AMBIGUITY_MARGIN) & (F.col("n.frames") >= 2)
     df = df.withColumns({"conflict": F.coalesce(conflict, F.lit(False)), "own_clean": T.clean(F.col("b.text")), "chars_clean": T.clean(F.col("chars"))})
-    for name in ("own", "chars"):
-        fits = T.best_template_fits(df.select(f"{name}_clean"), f"{name}_clean").select(f"{name}_clean", F.col("fit_score").alias(f"{name}_score"))
-        df = df.join(fits, f"{name}_clean", "left").withColumn(f"{name}_fit", F.coalesce(f"{name}_score", F.lit(0.0)))
+    fit = lambda c: F.coalesce(T.best_fit(F.col(c))["score"], F.lit(0.0))
+    df = df.withColumns({"own_fit": fit("own_clean"), "chars_fit": fit("chars_clean")})
     near = F.coalesce(T.hamming(F.col("b.text"), F.col("n.text")) <= C.RESCUE_DIFFERENCES, F.lit(False))
     df = df.withColumn("rescued", F.col("conflict") & near & (F.col("chars_fit") > F.col("own_fit")))
     agree = F.col("b.frames")

@@ -363,12 +363,14 @@ r AS (SELECT *, CASE WHEN conflict THEN 'conflicting_temporal_readings' WHEN fus
 @query(
     _FUSED
     + """ SELECT track_id, CASE WHEN reason IS NULL THEN text ELSE '' END AS plate_text, text AS proposed_text, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'uncertain' END AS status, reason AS review_reason,
-  round(fused, 4) AS fused_confidence, 1e0 AS format_score, frames AS agreement_count, total AS total_observations, sharpest AS sharpest_frame_idx, CASE WHEN conflict THEN nt ELSE '' END AS conflicting FROM r""",
+  round(fused, 4) AS fused_confidence, 1e0 AS format_score, frames AS agreement_count, total AS total_observations, sharpest AS sharpest_frame_idx, CASE WHEN conflict THEN nt ELSE '' END AS conflicting, alternatives
+FROM r JOIN (SELECT track_id, string_agg(concat(text, ':', frames, ':', CAST(round(max_conf * 1e4) AS BIGINT)), ',' ORDER BY i) AS alternatives FROM ranked WHERE i <= 5 GROUP BY 1) USING (track_id)""",
     "fx_observation",
 )
 def fuse_tracks(t):
     out = fuse.fuse(t.fx_observation)
-    return out.withColumn("conflicting", F.array_join("conflicting_texts", ",")).drop("conflicting_texts", "alternatives")
+    options = F.transform("alternatives", lambda x: F.concat_ws(":", x["text"], x["frame_count"].cast("string"), F.round(x["max_confidence"] * 1e4).cast("bigint").cast("string")))
+    return out.withColumns({"conflicting": F.array_join("conflicting_texts", ","), "alternatives": F.array_join(options, ",")}).drop("conflicting_texts")
 
 
 @query(" SELECT track_id, frame_idx, i AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY sharpness DESC, frame_idx) AS INTEGER) AS i FROM fx_observation) WHERE i <= 5", "fx_observation")
@@ -377,14 +379,18 @@ def topk_sharpest(t):
 
 
 @query(
-    """, o AS (SELECT o.*, e.event_type FROM fx_observation o JOIN ev e ON e.event_id = o.frame_idx)
-SELECT track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS frames, round(avg(ocr_confidence), 9) AS mean_conf, arg_min(event_type, frame_idx) AS vehicle_type,
-  round(min(frame_idx)/25e0, 2) AS first_sec, round(max(frame_idx)/25e0, 2) AS last_sec FROM o GROUP BY 1""",
+    ", best AS (SELECT * FROM fx_observation QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY sharpness DESC, frame_idx) <= 5)"
+    + _FUSED.replace("fx_observation", "best")
+    + """, o AS (SELECT o.*, e.event_type FROM fx_observation o JOIN ev e ON e.event_id = o.frame_idx),
+span AS (SELECT track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS frames, round(avg(ocr_confidence), 9) AS mean_conf, arg_min(event_type, frame_idx) AS vehicle_type,
+  round(min(frame_idx)/25e0, 2) AS first_sec, round(max(frame_idx)/25e0, 2) AS last_sec FROM o GROUP BY 1)
+SELECT span.*, CASE WHEN reason IS NULL THEN text ELSE '' END AS plate_text, text AS proposed_text, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'uncertain' END AS status, reason AS review_reason,
+  round(fused, 4) AS fused_confidence FROM span JOIN r USING (track_id)""",
     "fx_observation", "ev",
 )
 def passages(t):
     frames = t.fx_observation.join(t.ev.select(F.col("event_id").alias("frame_idx"), F.col("event_type").alias("vehicle_type")), "frame_idx")
-    return fuse.passages(frames).select("track_id", "first_frame", "last_frame", "frames", "mean_conf", "vehicle_type", "first_sec", "last_sec")
+    return fuse.passages(frames)
 
 
 @query(" SELECT plate_id, round(greatest(0, least(1, confidence*3 - 1)), 9) AS unit, round(2*confidence*(1-confidence)/greatest(1, 1e-12), 9) AS harmonic FROM fx_plate", "fx_plate")
