@@ -40,16 +40,18 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks a byte")
         self.longest = max(map(len, self.rank))
         self._fit: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         # Finds every token that ends at a byte; the library's keys are text, one character a byte.
         self._ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for t, r in self.rank.items():
             self._ends.add_word(t.decode("latin-1"), r << 8 | len(t))
         self._ends.make_automaton()
 
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by definition: the adjacent pair of least rank is merged, leftmost first."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """BPE by definition: the adjacent pair of least rank is merged, leftmost first, as
+        long as more than ``until`` tokens are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             ranks = [self.rank.get(a + b, 1 << 62) for a, b in zip(parts, parts[1:], strict=False)]
             least = min(ranks)
             if least == 1 << 62:
@@ -58,6 +60,15 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
+    def halves(self, t: int) -> tuple[int, int] | None:
+        """The two tokens that BPE merges last to get ``t``; none if it does not get ``t``
+        from its bytes, or by way of tokens of higher rank."""
+        if t not in self._halves:
+            parts = self.merged(self.token[t], 2)
+            usable = len(parts) == 2 and all(self.size[p] == 1 or p < t and self.halves(p) for p in parts)
+            self._halves[t] = tuple(parts) if usable else None
+        return self._halves[t]
+
     def fits(self, before: int, after: int) -> bool:
         """Whether BPE keeps ``before, after`` as they are; ``before`` -1: nothing before."""
         key = (before + 1) << 32 | after
@@ -65,10 +76,30 @@ class Vocabulary:
         if known is None:
             if len(self._fit) >= PAIRS:
                 self._fit.clear()
-            data = self.token[after] if before < 0 else self.token[before] + self.token[after]
-            known = self._fit[key] = self.merged(data) == ([after] if before < 0 else [before, after])
+            known = self._fit[key] = self._kept(before, after)
         return known
 
+    def _kept(self, before: int, after: int) -> bool:
+        """Undoes the merges of both tokens, the latest first: they stay apart if no two
+        tokens that met at their border had a merge due earlier than the one undone there."""
+        size, token, rank = self.size, self.token, self.rank
+        if any(t >= 0 and size[t] > 1 and not self.halves(t) for t in (before, after)):
+            data = (b"" if before < 0 else token[before]) + token[after]
+            return self.merged(data) == ([after] if before < 0 else [before, after])
+        due = 1 << 62
+        while before >= 0:
+            if rank.get(token[before] + token[after], due) < due:
+                return False
+            # Merges of one rank go from left to right: that of the left token is the earlier.
+            left, right = before if size[before] > 1 else -1, after if size[after] > 1 else -1
+            if left > right:
+                due, before = left, self._halves[before][1]
+            elif right >= 0:
+                due, after = right + 1, self._halves[after][0]
+            else:
+                break
+        return True
+
     def last_tokens(self, data: bytes, last: list[int], old: list[int] | None = None, stop: int = 0, shift: int = 0):
         """Appends to ``last`` the last token of each further prefix of ``data``.
 
@@ -142,31 +173,41 @@ class Prefixes:
         return self.vocab.walk(self.last)
 
 
+class Memory(dict):
+    """Packed ids by pre-token. What is not in it is encoded when it is looked up; full, it
+    starts anew and keeps its former half a while."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab, self.older = vocab, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8", "replace")
+            whole = self.vocab.rank.get(data)
+            ids = array("i", self.vocab.encode(data) if whole is None else [whole]).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts: the pattern's matches, each by `Prefixes`, with a bounded memory."""
 
     def __init__(self, path: str, pattern: str):
         self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.memo: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.known = Memory(self.vocab)
 
-    def pre_token(self, piece: str) -> array:
-        known = self.memo.get(piece) or self.older.get(piece)
-        if known is None:
-            data = piece.encode("utf-8", "replace")
-            whole = self.vocab.rank.get(data)
-            known = array("i", [whole] if whole is not None else self.vocab.encode(data))
-        if len(piece) <= 64:
-            if len(self.memo) >= MEMO:
-                self.older, self.memo = self.memo, {}
-            self.memo[piece] = known
-        return known
+    def packed(self, text: str | None) -> bytes:
+        """The ids of ``text``, four bytes each in the machine's order."""
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text or "")))
 
     def encode(self, text: str | None) -> array:
-        out, get, one = array("i"), self.memo.get, self.pre_token
-        for piece in self.pattern.findall(text or ""):
-            out += get(piece) or one(piece)
-        return out
+        return array("i", self.packed(text))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocab.token.__getitem__, ids))
@@ -234,11 +275,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         encoder = Encoder(path, pattern)
 
         def step(texts):
-            flat, ends = array("i"), [0]
-            for text in texts:
-                flat += encoder.encode(text)
-                ends.append(len(flat))
-            values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
+            ids = [encoder.packed(text) for text in texts]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
         return step

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 
@@ -38,6 +39,37 @@ def test_prefixes_are_the_encodings_of_prefixes():
         assert prefixes.tokens() == vocab.merged(data[: i + 1])
 
 
+def test_pairs_that_fit_are_those_that_bpe_keeps(tmp_path):
+    rng, vocab = random.Random(4), bpe.vocabulary(PATH)
+    tokens = sorted(vocab.token)
+    short = [t for t in tokens if vocab.size[t] <= 3]
+    pairs = [(-1, t) for t in rng.sample(tokens, 2000)] + [(rng.choice(short), rng.choice(short)) for _ in range(20000)]
+    for data in (vocab.token[rng.choice(tokens)] + vocab.token[rng.choice(tokens)] for _ in range(20000)):
+        i = rng.randrange(1, len(data))
+        if data[:i] in vocab.rank and data[i:] in vocab.rank:
+            pairs.append((vocab.rank[data[:i]], vocab.rank[data[i:]]))
+    pairs += [(vocab.rank[b"a" * i], vocab.rank[b"a" * j]) for i in range(1, 5) for j in range(1, 5) if {b"a" * i, b"a" * j} <= vocab.rank.keys()]
+    for before, after in pairs:
+        kept = vocab.merged((vocab.token[before] if before >= 0 else b"") + vocab.token[after]) == [t for t in (before, after) if t >= 0]
+        assert vocab.fits(before, after) == kept, (before, after)
+    # Ranks in no order of merges: "abc" before its halves, "xyz" with none.
+    odd = [bytes([i]) for i in range(256)] + [b"abc", b"ab", b"bc", b"xyz", b"cab", b"aa", b"aaa", b"aaaa"]
+    (tmp_path / "odd").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(odd)))
+    vocab = bpe.Vocabulary(str(tmp_path / "odd"))
+    for before in range(-1, len(odd)):
+        for after in (*range(97, 123), *range(256, len(odd))):
+            kept = vocab.merged((odd[before] if before >= 0 else b"") + odd[after]) == [t for t in (before, after) if t >= 0]
+            assert vocab.fits(before, after) == kept, (before, after)
+
+
+def test_a_full_memory_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    rng, encoder = random.Random(6), bpe.Encoder(PATH, P.PATTERN)
+    for text in (some(rng, 40) for _ in range(50)):
+        assert encoder.encode(text).tolist() == library.encode_ordinary(text)
+        assert len(encoder.known) <= 3
+
+
 def test_edit_of_a_pre_token_computes_little():
     rng, vocab = random.Random(2), bpe.vocabulary(PATH)
     data = bytes(rng.choice(b"etaoinshr") for _ in range(900))
