@@ -16,6 +16,7 @@ import sys
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -81,16 +82,21 @@ class Matcher:
 
     def find(self, found: list[str]):
         """``(lengths, word, end, piece)`` of every piece, ordered by its end in the word."""
-        lengths = np.array([len(w) + 1 for w in found], np.int64)
-        ends = list(self.automaton.iter("\n".join(MARK + w for w in found))) if len(self.size) else []
-        at = np.array([e for e, _ in ends], np.int64)
-        piece = np.array([p for _, p in ends], np.int64)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        joined = MARK + f"\n{MARK}".join(found) if found else ""
+        at, piece = self.ends(joined)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        word = np.searchsorted(starts, at, "right") - 1
+        word = np.repeat(np.arange(len(found)), lengths + 1)[at]
         end = at - starts[word] + 1
-        order = np.lexsort((word, end))
+        # Pieces come word by word, which a stable sort by the end keeps (the narrow type has a faster one).
+        order = np.argsort(end.astype(np.uint16) if lengths.max(initial=0) < 1 << 16 else end, kind="stable")
         return lengths, word[order], end[order], piece[order]
 
+    def ends(self, chars: str) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the last character of every piece in ``chars``, and the piece."""
+        found = self.automaton.iter(chars) if len(self.size) else ()
+        return np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
+
 
 def forward(lengths, word, end, piece, size, p: np.ndarray) -> np.ndarray:
     """Per word and position the summed probability of all ways to cut what is before.
@@ -153,22 +159,21 @@ class Sums:
 
 def log_sums(matcher: Matcher, found: list[str], p: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, summed over all segmentations."""
-    order = sorted(range(len(found)), key=lambda i: -len(found[i]))
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    order = np.argsort(-size, kind="stable")
+    chars = np.concatenate(([0], np.cumsum(size[order])))
     out, at = np.zeros((len(found), p.shape[1])), 0
     while at < len(order):
-        chars, stop = len(found[order[at]]), at + 1
-        while stop < len(order) and chars + len(found[order[stop]]) <= SLAB:
-            chars += len(found[order[stop]])
-            stop += 1
-        part = [found[i] for i in order[at:stop]]
+        stop = max(at + 1, int(np.searchsorted(chars, chars[at] + SLAB, "right")) - 1)
+        part = [found[i] for i in order[at:stop].tolist()]
         if len(part) == 1 and len(part[0]) > SLAB:
             whole = MARK + part[0]
             sums, back = Sums(np.array([len(whole)]), matcher.size, p), int(matcher.size.max(initial=1)) - 1
             for a in range(0, len(whole), SLAB):
                 b, early = min(len(whole), a + SLAB), max(0, a - back)
-                ends = [(early + e + 1, k) for e, k in matcher.automaton.iter(whole[early:b]) if early + e >= a] if len(matcher.size) else []
-                end, piece = (np.array([x[j] for x in ends], np.int64) for j in (0, 1))
-                sums.advance(b, np.zeros(len(end), np.int64), end, piece)
+                end, piece = matcher.ends(whole[early:b])
+                new = early + end >= a
+                sums.advance(b, np.zeros(int(new.sum()), np.int64), early + end[new] + 1, piece[new])
         else:
             lengths, word, end, piece = matcher.find(part)
             sums = Sums(lengths, matcher.size, p)
