@@ -26,6 +26,8 @@ from passagekit.llm.common import add_columns, small_batches
 
 #: Entries of either half of a worker's memory of pre-tokens, and of its pairs that fit.
 MEMO, PAIRS = 150_000, 400_000
+#: Characters beyond which a text's pre-tokens are found one by one, and ids spelt at once.
+LONG, SPELT = 1 << 18, 1 << 16
 
 
 class Vocabulary:
@@ -204,7 +206,9 @@ class Encoder:
 
     def packed(self, text: str | None) -> bytes:
         """The ids of ``text``, four bytes each in the machine's order."""
-        return b"".join(map(self.known.__getitem__, self.pattern.findall(text or "")))
+        text = text or ""
+        found = self.pattern.findall(text) if len(text) <= LONG else (m.group() for m in self.pattern.finditer(text))
+        return b"".join(map(self.known.__getitem__, found))
 
     def encode(self, text: str | None) -> array:
         return array("i", self.packed(text))
@@ -291,16 +295,18 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         vocab = vocabulary(path)
         known = sorted(vocab.token)
-        size, at = np.zeros(known[-1] + 1, np.int64), np.zeros(known[-1] + 1, np.int64)
+        size, at = np.zeros(known[-1] + 1, np.int32), np.zeros(known[-1] + 1, np.int64)
         size[known] = [len(vocab.token[r]) for r in known]
         at[known] = np.cumsum(size[known]) - size[known]
         pool = np.frombuffer(b"".join(vocab.token[r] for r in known), np.uint8)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
             ids, rows = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            n = size[ids]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            spelt = pool[np.arange(ends[-1]) + np.repeat(at[ids] - ends[:-1], n)]
+            ends = np.concatenate(([0], np.cumsum(size[ids], dtype=np.int64)))
+            spelt = np.empty(ends[-1], np.uint8)
+            for a in range(0, len(ids), SPELT):  # places are eight times as wide as what they spell
+                some, to = ids[a : a + SPELT], ends[a : a + SPELT + 1]
+                spelt[to[0] : to[-1]] = pool[np.arange(to[0], to[-1]) + np.repeat(at[some] - to[:-1], size[some])]
             bounds = ends[np.concatenate(([0], np.cumsum(rows)))].astype(np.int32)
             valid = pa.array(column.is_valid()).buffers()[1] if column.null_count else None
             spelt = pa.Array.from_buffers(pa.binary(), len(batch), [valid, pa.py_buffer(bounds), pa.py_buffer(spelt)])
