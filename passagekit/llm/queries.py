@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, decontaminate, imatch, langid, lm, quality, simhash, token_counts, toxicity, warc
+from passagekit.llm import alignment, bpe, conversations, decontaminate, imatch, langid, lm, quality, simhash, token_counts, token_files, toxicity, warc
 from passagekit.llm.common import read, remainder
 
 
@@ -86,6 +86,20 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents"), a, b)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_segmentation": op1_segmentation,
     "op2_supervision": op2_supervision,
@@ -97,6 +111,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_bytes": op9_bytes,
     "op10_interpolation": op10_interpolation,
+    "op11_token_files": op11_token_files,
+    "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -176,5 +193,77 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM k
+""",
+    "op13_conversations": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+),
+fated AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substring(key, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+    4294967295) % 20 AS fate
+  FROM keyed
+),
+kept AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0
+),
+spoken AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, md5(length(role) || ':' || role || text) AS digest FROM kept),
+ordered AS (
+  SELECT *, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER w AS before
+  FROM spoken WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest, copy)
+),
+faults AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault
+  FROM ordered
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size
+  FROM faults GROUP BY conv_id
+),
+ins AS (SELECT * FROM (VALUES (0,0,0,''),(1,1,0,''),(2,2,0,''),(3,3,0,''),(0,2,2,'I'),(1,2,2,'I'),(3,2,2,'I'),(2,3,2,'I'),(0,3,4,'II'),(1,3,4,'II')) AS t(i, j, c, e)),
+moves AS (SELECT * FROM (VALUES ('s',0,1),('u',0,2),('u',1,2),('u',3,2),('a',2,3)) AS t(role, i, j)),
+cases AS (SELECT DISTINCT initial, fault FROM faults),
+edit AS (
+  SELECT initial, fault, i, i AS j, 3 AS c, 'D' AS e FROM cases, (SELECT unnest([0, 1, 2, 3]) AS i)
+  UNION ALL SELECT initial, fault, i, j, CAST(fault = 'truncated' AS INT), 'K' FROM cases JOIN moves ON role = initial WHERE fault IN ('truncated', 'fine')
+  UNION ALL SELECT initial, fault, i, j, 2 + CAST(fault = 'truncated' AS INT), 'R' FROM cases, moves WHERE role <> 's' AND fault IN ('truncated', 'fine')
+),
+step AS (SELECT initial, fault, ins.i, edit.j, ins.c + edit.c AS c, ins.e || edit.e AS e FROM edit JOIN ins ON ins.j = edit.i),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS state, printf('%09d', 0) AS best FROM counts
+  UNION ALL
+  SELECT f.conv_id, f.n, s.j, min(printf('%09d', CAST(left(d.best, 9) AS INT) + s.c) || substring(d.best, 10) || s.e)
+  FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.n + 1 JOIN step s ON s.initial = f.initial AND s.fault = f.fault AND s.i = d.state
+  GROUP BY f.conv_id, f.n, s.j
+),
+cheapest AS (
+  SELECT c.conv_id, min(printf('%09d', CAST(left(best, 9) AS INT) + ins.c) || substring(best, 10) || ins.e) AS best
+  FROM dp JOIN counts c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.size = dp.n JOIN ins ON ins.i = dp.state AND ins.j IN (0, 3) GROUP BY c.conv_id
+),
+audits AS (SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substring(best, 10) AS audit FROM cheapest),
+letters AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM audits),
+placed AS (
+  SELECT conv_id, substring(audit, k, 1) AS e, k, length(replace(left(audit, k), 'I', '')) AS n, length(replace(left(audit, k), 'D', '')) - 1 AS position,
+    length(replace(audit, 'D', '')) % 2 AS odd
+  FROM letters
+),
+lines AS (
+  SELECT p.conv_id, k, CASE WHEN e = 'K' THEN role WHEN (position - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+  FROM placed p LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n AND e <> 'I' WHERE e <> 'D'
+),
+shas AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS sha FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN shas s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }

@@ -15,18 +15,22 @@ ROWS = [
 ]
 
 
-def save(spark, path, rows, labels=(), pages=(), items=()):
+TURNS = [(None, None, None, None, 1), (1, None, "user", "", 1), (1, 0, None, None, 1), (2, 5, "user", "word " * 60_000, 1), (2, 5, "user", "word " * 60_000, 1), (2, 9, "", "?", 1)]
+
+
+def save(spark, path, rows, labels=(), pages=(), items=(), turns=()):
     spark.createDataFrame([(*r, 0.5, 1, "i", 2, 3) for r in rows], DOCUMENTS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(list(pages), "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(turns), "conv_id bigint, turn bigint, role string, text string, cost int").write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     empty = save(spark, tmp_path_factory.mktemp("empty"), [])
-    odd = save(spark, tmp_path_factory.mktemp("odd"), ROWS, [(None, 1, 1), (5, None, None), (77, 1, 0)], [(None, None, None), (1, "u", ""), (1, "u", "")], [(None, None), (1, ""), (2, "luck here")])
+    odd = save(spark, tmp_path_factory.mktemp("odd"), ROWS, [(None, 1, 1), (5, None, None), (77, 1, 0)], [(None, None, None), (1, "u", ""), (1, "u", "")], [(None, None), (1, ""), (2, "luck here")], TURNS)
     return empty, odd
 
 
@@ -35,7 +39,7 @@ def test_query_on_odd_and_empty_tables(spark, folders, name):
     empty, odd = folders
     assert queries.QUERIES[name](spark, empty).collect() == []
     rows = queries.QUERIES[name](spark, odd).collect()
-    assert len(rows) == (3 if name == "op8_warc" else len(ROWS))
+    assert len(rows) == {"op8_warc": 3, "op13_conversations": 3}.get(name, len(ROWS))
     for r in rows:
         for c in ("score", "near_edited", "near_next"):
             if c in r.__fields__ and name != "op10_interpolation":
