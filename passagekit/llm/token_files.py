@@ -25,6 +25,7 @@ import struct
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -40,10 +41,10 @@ from passagekit.llm.common import shared_dir, small_batches, stored
 #: Ids that fill a frame; ids after which a new file begins; characters that go to one task.
 FRAME, FILE, SHARE = 1 << 16, 1 << 27, 32 << 20
 #: Runs of text that an encoder remembers, and the longest that it does.
-MEMO, LONGEST = 250_000, 64
+MEMO, LONGEST = 500_000, 64
 #: Bytes of ids in one batch of rows on the way back, and the most tasks that read files.
 BATCH, READERS = 4 << 20, 20_000
-LEVEL = 3
+LEVEL = 1
 
 # Fixed values of the seekable format: two kinds of skippable frames, the number at the very
 # end, and the bit that tells that checksums are there.
@@ -137,6 +138,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's one encoder of a path, with what it remembers from task to task."""
+    return Encoder(path)
+
+
 class Writer:
     """Writes one file to a byte stream."""
 
@@ -279,10 +286,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, id_col: str = "
     dealt = rows.repartitionByRange(max(1, -(-size // share)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder, out = Encoder(path), None
+        model, out = encoder(path), None
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        tail, no, name = np.array([end], encoder.kind).tobytes(), 0, ""
+        tail, no, name = np.array([end], model.kind).tobytes(), 0, ""
 
         def done(part):
             out.close()
@@ -293,13 +300,13 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, id_col: str = "
         part = None
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else part
-            for doc_id, ids in zip(batch.column(1).to_pylist(), encoder.packed(batch.column(2).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), model.packed(batch.column(2).to_pylist()), strict=True):
                 if out and out.size >= FILE:
                     yield done(part)
                     out, no = None, no + 1
                 if not out:
                     name = uuid.uuid4().hex
-                    out = Writer(fs.open_output_stream(f"{base}/{name}.open", compression=None), encoder.width)
+                    out = Writer(fs.open_output_stream(f"{base}/{name}.open", compression=None), model.width)
                 out.add(doc_id, ids + tail)
         if out:
             yield done(part)
