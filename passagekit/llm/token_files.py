@@ -106,11 +106,11 @@ class Encoder:
                 out += self._library(some)
         return out
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: Iterable[str]) -> None:
         known, letters, others, parts = self.known, {}, {}, {}
         for run in new:
             word = run.rstrip(self.MARKS)
-            if len(run) <= LONGEST and word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha():
+            if len(run) <= LONGEST and word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
                 letters[word] = 0
                 if len(word) < len(run):
                     parts[run] = len(word)
@@ -126,9 +126,10 @@ class Encoder:
     def packed(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text, ``width`` bytes each; none for a null."""
         known, older, runs = self.known, self.older, [self.runs(t) if t else [] for t in texts]
-        new = [w for w in set(chain.from_iterable(runs)) if w not in known]
-        known.update((w, older[w]) for w in new if w in older)
-        self._learn([w for w in new if w not in known])
+        new = set(chain.from_iterable(runs)).difference(known)
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        self._learn(new.difference(again))
         out = [b"".join(map(known.__getitem__, r)) for r in runs]
         for w in new:
             if len(w) > LONGEST:
