@@ -4,7 +4,7 @@ The following are fixed values: results equal the reference's only with them as
 """
 
 # Plate templates: L a letter, D a digit; the one without a series scores less.
-TEMPLATES = ("LLDDLDDDD", "LLDDLLDDDD", "LLDLDDDD", "LLDLLDDDD", "LLDDDDDD", "LLDDLDD")
+TEMPLATES = ("LLDDLDDDD", "LLDDLLDDDD", "LLDLDDDD", "LLDLLDDDD", "LLDDDDDD", "LLDDLDDD")
 WEAK_TEMPLATE, WEAK_SCORE, FULL_SCORE = "LLDDDDDD", 0.70, 1.0
 # Literal layouts that a person has to review.
 REVIEW_LAYOUT = "^[A-Z]{2}([0-9]{1,2}[A-Z]{1,3}[0-9]{1,4}|[0-9]{3,6})$"

@@ -40,6 +40,15 @@ VIEWS = {
         " WHEN user_id%3<>0 AND k%5=0 THEN 1 ELSE 0 END AS {str}), 4, '0')) AS proposed_text",
         "",
     ),
+    "fx_frame": ("ev", "ts; event_id AS frame_idx; user_id AS track_id; value AS sharpness", ""),
+    "fx_layout": (
+        "ev",
+        "event_id; CASE k%7 WHEN 0 THEN concat('KA01A', lpad(CAST(user_id%1000 AS {str}), 3, '0')) WHEN 1 THEN concat('KA01A', lpad(CAST(user_id%100 AS {str}), 2, '0'))"
+        " WHEN 2 THEN concat('KA0IAB', lpad(CAST(user_id%10000 AS {str}), 4, '0')) WHEN 3 THEN concat('MH1A', lpad(CAST(user_id%10000 AS {str}), 4, '0'))"
+        " WHEN 4 THEN concat('DL1CA', lpad(CAST(user_id%10000 AS {str}), 4, '0')) WHEN 5 THEN concat('KA', lpad(CAST(user_id AS {str}), 6, '0'))"
+        " ELSE concat('8H12A', lpad(CAST(user_id%10000 AS {str}), 4, 'O')) END AS text",
+        "",
+    ),
     "fx_truth": (
         "fx_plate",
         "image_id; plate_id AS target_id; x1+plate_id%9 AS x1; y1+plate_id%4 AS y1; x2+plate_id%9 AS x2; y2+plate_id%4 AS y2;"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagekit import constants as C
 from passagekit.functions.text import clean
 from passagekit.functions.values import ratio
+from passagekit.operators.quantiles import nearest_rank
 
 
 def count_where(condition: Column) -> Column:
@@ -93,13 +94,17 @@ def latency(df: DataFrame, seconds: str, order: str, *by: str) -> DataFrame:
     """First, mean, mean without the first, and nearest-rank 95th percentile."""
     first = F.min_by(seconds, order)
     total, n = F.sum(seconds), F.count(seconds)
-    return df.groupBy(*by).agg(
+    means = df.groupBy(*by).agg(
         n.alias("n"),
         F.round(first, 9).alias("first"),
         F.round(total / n, 9).alias("mean"),
         F.round(F.try_divide(total - first, (n - 1).cast("double")), 9).alias("warm_mean"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {seconds})").alias("p95"),
     )
+    p95 = nearest_rank(df, seconds, "0.95", *by)
+    same = F.lit(True)
+    for c in by:
+        same &= means[c].eqNullSafe(p95[c])
+    return means.join(p95, same, "left").select(*(means[c] for c in by), "n", "first", "mean", "warm_mean", F.col("quantile").alias("p95"))
 
 
 def transitions(before: DataFrame, after: DataFrame, on: list[str], value: str = "status") -> DataFrame:

@@ -204,22 +204,23 @@ def ordered_regions(t):
     return select.order_regions(t.fx_region, "image_id")
 
 
-_FITS = r"""p(template, base) AS (VALUES {templates}),
-swapped(letter, digit) AS (VALUES {confused}),
+# Fixed values, written out here on their own: templates with their scores, letters read for
+# digits, and the layout that a person has to review.
+_LAYOUT = "^[A-Z]{2}([0-9]{1,2}[A-Z]{1,3}[0-9]{1,4}|[0-9]{3,6})$"
+_FITS = (
+    r"""p(template, base) AS (VALUES ('LLDDLDDDD', 1e0), ('LLDDLLDDDD', 1e0), ('LLDLDDDD', 1e0), ('LLDLLDDDD', 1e0), ('LLDDDDDD', 0.7e0), ('LLDDLDDD', 1e0)),
+swapped(letter, digit) AS (VALUES ('O', '0'), ('I', '1'), ('Z', '2'), ('S', '5'), ('B', '8'), ('G', '6'), ('Q', '0'), ('D', '0'), ('T', '7')),
 c AS (SELECT chr(CAST(i AS INTEGER)) AS have, 'L' AS due, chr(CAST(i AS INTEGER)) AS may FROM range(65, 91) r(i) UNION ALL SELECT CAST(i AS VARCHAR), 'D', CAST(i AS VARCHAR) FROM range(0, 10) r(i)
   UNION ALL SELECT letter, 'D', digit FROM swapped UNION ALL SELECT digit, 'L', letter FROM swapped),
 made AS (
   SELECT text, template, base, 0 AS i, '' AS proposal FROM t JOIN p ON length(text) = length(template)
   UNION ALL SELECT text, template, base, i + 1, proposal || may FROM made JOIN c ON have = substring(text, i + 1, 1) AND due = substring(template, i + 1, 1)),
 scored AS (SELECT text, proposal, greatest(0, base - 0.08e0 * len(list_filter(range(1, length(text) + 1), lambda j: regexp_matches(substring(text, j, 1), '[A-Z]') <> (substring(template, j, 1) = 'L')))) AS score
-  FROM made WHERE i = length(text) UNION ALL SELECT text, text, 0.7e0 FROM t WHERE regexp_matches(text, '{layout}')),
+  FROM made WHERE i = length(text) UNION ALL SELECT text, text, 0.7e0 FROM t WHERE regexp_matches(text, '@layout')),
 best AS (SELECT text, proposal, max(score) AS score FROM scored GROUP BY 1, 2),
-own AS (SELECT text, score AS own FROM best WHERE proposal = text AND regexp_matches(text, '{layout}')),
-fits AS (SELECT text, proposal, CASE WHEN own IS NULL OR proposal = text THEN score ELSE least(score, greatest(0, own - 0.08e0)) END AS score FROM best LEFT JOIN own USING (text))""".format(
-    templates=", ".join(f"('{x}', {C.WEAK_SCORE if x == C.WEAK_TEMPLATE else C.FULL_SCORE}::DOUBLE)" for x in C.TEMPLATES),
-    confused=", ".join(f"('{a}', '{b}')" for a, b in C.CONFUSED.items()),
-    layout=C.REVIEW_LAYOUT,
-)
+own AS (SELECT text, score AS own FROM best WHERE proposal = text AND regexp_matches(text, '@layout')),
+fits AS (SELECT text, proposal, CASE WHEN own IS NULL OR proposal = text THEN score ELSE least(score, greatest(0, own - 0.08e0)) END AS score FROM best LEFT JOIN own USING (text))"""
+).replace("@layout", _LAYOUT)
 
 
 @query(
@@ -228,14 +229,14 @@ fits AS (SELECT text, proposal, CASE WHEN own IS NULL OR proposal = text THEN sc
     + _PLACED.replace("fx_region", "cl")
     + """, g AS (SELECT image_id, text, conf, place AS i FROM cl JOIN placed USING (region_id)),
 whole AS (SELECT image_id, string_agg(text, '' ORDER BY i) AS literal, min(conf) AS least, count(*) FILTER (WHERE length(text) <= 4) AS short FROM g GROUP BY 1),
-s AS (SELECT a.image_id, a.i * 1000 + z.i + 1 AS o, string_agg(m.text, '' ORDER BY m.i) AS text, min(m.conf) AS conf, count(*) FILTER (WHERE length(m.text) <= 4) AS own
+s AS (SELECT a.image_id, a.i * 1000000000 + z.i AS o, string_agg(m.text, '' ORDER BY m.i) AS text, min(m.conf) AS conf, count(*) FILTER (WHERE length(m.text) <= 4) AS own
   FROM g a JOIN g z ON a.image_id = z.image_id AND a.i <= z.i JOIN g m ON m.image_id = a.image_id AND m.i BETWEEN a.i AND z.i GROUP BY a.image_id, a.i, z.i),
 span AS (SELECT image_id, o, text, conf, 0.08e0 * (short - own) AS penalty FROM s JOIN whole USING (image_id) WHERE length(text) <= 14),
 t AS (SELECT DISTINCT text FROM span),
 """
     + _FITS
     + """, l AS (SELECT image_id, text, min(o) AS first, arg_max({'c': conf, 'p': penalty}, (conf - penalty, -o)) AS e FROM span WHERE regexp_matches(text, '"""
-    + C.REVIEW_LAYOUT
+    + _LAYOUT
     + """') GROUP BY 1, 2),
 f AS (SELECT image_id, proposal, arg_max({'raw': text, 'f': score, 'c': conf, 's': greatest(0, conf * score - penalty)}, (greatest(0, conf * score - penalty), -o)) AS h
   FROM span JOIN fits USING (text) GROUP BY 1, 2),
@@ -255,7 +256,7 @@ SELECT image_id, CASE WHEN ok THEN proposal ELSE '' END AS plate_text, CASE WHEN
   round(CASE WHEN has THEN h.f ELSE 0 END, 9) AS format_score, round(CASE WHEN has THEN h.c WHEN kept THEN least ELSE 0 END, 9) AS ocr_confidence,
   round(CASE WHEN has THEN h.s WHEN kept THEN least * 0.4e0 ELSE 0 END, 9) AS selection_score, h.raw AS raw_text,
   proposal = h.raw AND regexp_matches(h.raw, '"""
-    + C.REVIEW_LAYOUT
+    + _LAYOUT
     + """') AS literal_layout, coalesce(evidence, '') AS literal_evidence,
   CASE WHEN has THEN options WHEN kept THEN concat(literal, ':', CAST(round(least * 0.4e0 * 1e6) AS BIGINT)) ELSE '' END AS alternatives, CASE WHEN has THEN coalesce(against, '') END AS conflicting_texts FROM v""",
     "fx_region",
@@ -270,15 +271,15 @@ def select_candidate(t):
 
 
 @query(
-    """, x AS (SELECT proposed_text AS text FROM fx_observation UNION SELECT regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') FROM fx_region),
+    """, x AS (SELECT proposed_text AS text FROM fx_observation UNION SELECT regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') FROM fx_region UNION SELECT text FROM fx_layout),
 t AS (SELECT text FROM x WHERE text NOT IN ('', 'IND')),
 """
     + _FITS
     + " SELECT text, proposal, round(score, 9) AS score FROM fits",
-    "fx_observation", "fx_region",
+    "fx_observation", "fx_region", "fx_layout",
 )
 def template_fits(t):
-    texts = t.fx_observation.select(F.col("proposed_text").alias("text")).unionByName(select.clean_regions(t.fx_region).select("text"))
+    texts = t.fx_observation.select(F.col("proposed_text").alias("text")).unionByName(select.clean_regions(t.fx_region).select("text")).unionByName(t.fx_layout.select("text"))
     return T.template_fits(texts).withColumn("score", F.round("score", 9))
 
 
