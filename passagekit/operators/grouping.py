@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagekit import constants as C
 from passagekit.functions import text as T
 from passagekit.functions.values import differing_bits
-from passagekit.operators.components import components
+from passagekit.operators.components import components, split
 
 #: Masks of the bands: of five, four differing bits leave one as it is. Each takes every fifth
 #: bit, so that a run of bits that are the same everywhere does not make a band of its own.
@@ -27,7 +27,7 @@ def aliases(records: DataFrame, hash_col: str = "pixel_sha256", path_col: str =
     """``(path, hash, kept)`` of every distinct path that was dropped for another of its
     hash: a row each, so that no group of copies has to be held together."""
     kept = exact_dedupe(records, hash_col, path_col).where("copies > 1").select(hash_col, "kept")
-    return records.select(path_col, hash_col).join(kept, hash_col).where(F.col(path_col) != F.col("kept")).distinct()
+    return records.select(path_col, hash_col).distinct().join(split(kept, hash_col), hash_col).where(F.col(path_col) != F.col("kept"))
 
 
 def near_duplicates(records: DataFrame, id_col: str = "id", hash_col: str = "dhash", bits: int = C.NEAR_BITS) -> DataFrame:
@@ -53,7 +53,7 @@ def stars(records: DataFrame, id_col: str, by: Column) -> DataFrame:
     """Edges ``(a, b)`` from each record to the least record of the same value of ``by``."""
     valued = records.select(F.col(id_col).alias("b"), by.alias("v")).where("v IS NOT NULL")
     least = valued.groupBy("v").agg(F.min("b").alias("a"))
-    return valued.join(least, "v").where("a <> b").select("a", "b")
+    return valued.join(split(least, "v"), "v").where("a <> b").select("a", "b")
 
 
 def leakage_groups(records: DataFrame, id_col: str = "id") -> DataFrame:
