@@ -1,4 +1,4 @@
-"""Queries over streams of frames and over sorted orders."""
+"""Queries over streams of frames, sorted orders and sources of our own."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from passagekit.operators.ordering import numbered
 from passagekit.plans.registry import query
+from passagekit.plans.shared import shared_dir
+from passagekit.sources import detections
 from passagekit.streaming import tracks
 
 #: Silence that ends a passage, and how late a frame may be.
@@ -30,3 +32,20 @@ def streamed_passages(t):
 def dense_index(t):
     path = F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"))
     return numbered(t.documents.select("doc_id", path.alias("path")), "path", "doc_id")
+
+
+_CLASSES = ("unknown", "bus", "truck", "motorcycle", "car")
+
+
+@query(
+    """, c AS (SELECT *, list_position(['unknown', 'bus', 'truck', 'motorcycle', 'car'], vehicle_type) - 1 AS class FROM fx_vehicle)
+SELECT image_id AS image, vehicle_id AS box, CAST(class AS INTEGER) AS class, CAST(printf('%.9f', (x1+x2)/12e2) AS DOUBLE) AS xc, CAST(printf('%.9f', (y1+y2)/4.8e2) AS DOUBLE) AS yc,
+  CAST(printf('%.9f', (x2-x1)/6e2) AS DOUBLE) AS w, CAST(printf('%.9f', (y2-y1)/2.4e2) AS DOUBLE) AS h, confidence FROM c WHERE class IN (1, 2, 4) AND confidence >= 0.35""",
+    "fx_vehicle",
+)
+def pushed_detections(t):
+    label = F.array_position(F.array(*map(F.lit, _CLASSES)), F.col("vehicle_type")) - 1
+    boxes = t.fx_vehicle.withColumnsRenamed({"image_id": "image", "vehicle_id": "box"}).withColumn("class", label)
+    path = shared_dir(t.spark)
+    detections.write(boxes, path, F.lit(600), F.lit(240))
+    return detections.scan(t.spark, path, classes=(1, 2, 4), confidence=0.35)
