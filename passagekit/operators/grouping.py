@@ -56,6 +56,24 @@ def stars(records: DataFrame, id_col: str, by: Column) -> DataFrame:
     return valued.join(split(least, "v"), "v").where("a <> b").select("a", "b")
 
 
+def members(records: DataFrame, id_col: str = "id", hash_col: str = "dhash", pixels: str | None = None) -> DataFrame:
+    """``(id, hash, kept)`` of every record with a hash: ``kept`` is the least id of its
+    hash, by which `near_duplicates` names it. With ``pixels`` also ``other_pixels``:
+    whether the record's picture is not that of ``kept``, though the hash is."""
+    valued = records.where(F.col(hash_col).isNotNull())
+    item = F.struct(F.col(id_col).alias("kept"), *([F.col(pixels).alias("pixels")] if pixels else []))
+    least = valued.groupBy(hash_col).agg(F.min(item).alias("least"))
+    df = valued.join(split(least, hash_col), hash_col)
+    more = [(~F.col(pixels).eqNullSafe(F.col("least.pixels"))).alias("other_pixels")] if pixels else []
+    return df.select(id_col, hash_col, F.col("least.kept").alias("kept"), *more)
+
+
+def same_date(records: DataFrame, id_col: str = "id", folder: str = "folder") -> DataFrame:
+    """Edges ``(a, b)`` to the least record of the same folder, where that is named by a date
+    of eight digits."""
+    return stars(records, id_col, F.when(F.col(folder).rlike("^[0-9]{8}$"), F.col(folder)))
+
+
 def leakage_groups(records: DataFrame, id_col: str = "id") -> DataFrame:
     """``(id, root, leakage_group)`` of records ``(id, pixel_sha256, dhash, identities,
     sequence)``: what shares pixels, a plausible plate, a sequence or nearly a picture is

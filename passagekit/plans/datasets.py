@@ -153,6 +153,25 @@ def near_duplicates(t):
     return grouping.near_duplicates(t.ev.select(F.col("event_id").alias("id"), h.alias("dhash")))
 
 
+@query(
+    """WITH e AS (SELECT event_id AS id, user_id, xor(user_id*2654435761, CAST(1 AS BIGINT) << CAST(CAST(json_extract_string(props,'$.k') AS INT) % 20 + 30 AS INT)) AS dhash, event_type FROM events),
+k AS (SELECT dhash, min(id) AS kept, arg_min(event_type, id) AS first FROM e GROUP BY 1)
+SELECT id, dhash, kept, event_type IS DISTINCT FROM first AS other_pixels FROM e JOIN k USING (dhash)"""
+)
+def near_members(t):
+    h = F.expr("(user_id*2654435761L) ^ shiftleft(1L, k % 20 + 30)")
+    return grouping.members(t.ev.select(F.col("event_id").alias("id"), h.alias("dhash"), "event_type"), pixels="event_type")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS b, CASE WHEN o_orderkey % 5 = 0 THEN concat('x', o_custkey) ELSE strftime(o_orderdate, '%Y%m%d') END AS folder FROM orders),
+m AS (SELECT min(b) AS a, folder FROM o WHERE regexp_full_match(folder, '[0-9]{8}') GROUP BY folder) SELECT a, b FROM o JOIN m USING (folder) WHERE a <> b"""
+)
+def same_date_links(t):
+    folder = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return grouping.same_date(t.orders.select(F.col("o_orderkey").alias("id"), folder.alias("folder")))
+
+
 _LINKS = """WITH RECURSIVE n AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS x, min(doc_id) OVER (PARTITION BY lang, n_chars) AS y FROM documents),
 e AS (SELECT doc_id AS a, x AS b FROM n UNION SELECT x, doc_id FROM n UNION SELECT doc_id, y FROM n UNION SELECT y, doc_id FROM n),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)"""
