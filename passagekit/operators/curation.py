@@ -53,6 +53,12 @@ def _decided(df: DataFrame, decisions: DataFrame, rule: str, by: str, name: str)
     return df.join(d, by, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
 
 
+def _broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``(rule, key)`` of all rules that hold, in one pass over the rows."""
+    names = F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in rules.items())))
+    return df.select(F.explode(names).alias("rule"), F.col("annotation").alias("key"))
+
+
 def _folder(path: str) -> Column:
     return F.regexp_replace(F.col(path), "/?[^/]*$", "")
 
@@ -112,26 +118,25 @@ def inspect(annotations: DataFrame, images: DataFrame, policy: DataFrame) -> dic
     inside = F.coalesce(G.valid(corners, F.col("width"), F.col("height")), F.lit(False))
     boxes = boxes.withColumns({"text_status": status, "inside": inside, "reason": F.when(F.col("has_excluded"), F.col("excluded")).when(F.col("has_untexted"), F.col("untexted"))})
 
-    rule = lambda name, df, key="annotation": df.select(F.lit(name).alias("rule"), F.col(key).alias("key"))
     pictures = _decided(images.join(whole.select("image").where("image IS NOT NULL").distinct(), "image", "left_anti").select("image").distinct(), decisions, "unannotated_image", "image", "lone")
     unannotated = pictures.where("has_lone")
-    violations = [
-        rule("ambiguous_image", whole.where("NOT found AND candidates > 1")),
-        rule("missing_image", whole.where("NOT found AND candidates = 0 AND NOT has_absent")),
-        rule("filename", whole.where(F.col("found") & F.col("other_name") & ~named_well)),
-        rule("dimensions", whole.where(F.col("found") & F.col("other_size") & ~sized_well)),
-        rule("empty_annotation", whole.where(F.col("found") & (F.coalesce(F.size("objects"), F.lit(0)) <= 0))),
-        rule("missing_box", boxes.where("unboxed")),
-        rule("box", boxes.where("NOT unboxed AND NOT inside")),
-        rule("label", boxes.where("text_status IS NULL")),
-        rule("unannotated_image", pictures.where("NOT has_lone"), "image"),
-        rule("repeated_annotation", annotations.groupBy("annotation").count().where("count > 1")),
-        rule("repeated_image", images.groupBy("image").count().where("count > 1"), "image"),
-        _disagreeing(policy),
-    ]
-    bad = violations[0]
-    for more in violations[1:]:
-        bad = bad.unionByName(more)
+    of_notes = {
+        "ambiguous_image": F.expr("NOT found AND candidates > 1"),
+        "missing_image": F.expr("NOT found AND candidates = 0 AND NOT has_absent"),
+        "filename": F.col("other_name") & ~named_well,
+        "dimensions": F.col("other_size") & ~sized_well,
+        "empty_annotation": F.col("found") & (F.coalesce(F.size("objects"), F.lit(0)) <= 0),
+    }
+    of_boxes = {"missing_box": F.col("unboxed"), "box": F.expr("NOT unboxed AND NOT inside"), "label": F.col("text_status").isNull()}
+    repeats = lambda df, name, key: df.groupBy(key).count().where("count > 1").select(F.lit(name).alias("rule"), F.col(key).alias("key"))
+    violations = (
+        _broken(whole, of_notes)
+        .unionByName(_broken(boxes, of_boxes))
+        .unionByName(pictures.where("NOT has_lone").select(F.lit("unannotated_image").alias("rule"), F.col("image").alias("key")))
+        .unionByName(repeats(annotations, "repeated_annotation", "annotation"))
+        .unionByName(repeats(images, "repeated_image", "image"))
+        .unionByName(_disagreeing(policy))
+    )
 
     out = boxes.where("text_status = 'excluded'").groupBy("annotation").agg(F.max_by("reason", "ord").alias("reason"))
     exclusions = (
@@ -145,4 +150,4 @@ def inspect(annotations: DataFrame, images: DataFrame, policy: DataFrame) -> dic
         "annotation", "image", "ord", *_CORNERS, "raw_text", F.when(F.col("text_status") == "transcribed", F.col("cleaned")).alias("text"), "text_status", "reason",
         F.coalesce("alias", "cleaned").alias("leakage_identity"),
     )
-    return {"boxes": kept, "exclusions": exclusions, "repairs": repairs, "violations": bad.distinct()}
+    return {"boxes": kept, "exclusions": exclusions, "repairs": repairs, "violations": violations.distinct()}
