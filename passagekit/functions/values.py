@@ -25,6 +25,12 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from zero as most engines do: the scaled number, not its shortest
+    decimal form, decides what is half-way."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def softmax_top(labels: Column, logits: Column) -> Column:
     """(label, confidence, probabilities by label) of an array of scores."""
     peak = F.array_max(logits)

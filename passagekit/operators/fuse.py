@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagekit import constants as C
 from passagekit.functions import text as T
+from passagekit.functions import values as V
 
 
 def sharpest(observations: DataFrame, k: int = C.FRAMES_PER_TRACK, key: str = "track_id") -> DataFrame:
@@ -22,18 +23,27 @@ def weight() -> Column:
 
 
 def vote_tally(observations: DataFrame, key: str = "track_id") -> DataFrame:
-    """``(key, text, score, frames, max_conf, mean_conf, first)`` per text of a track."""
+    """``(key, text, score, frames, max_conf, mean_conf, first)`` per text of a track.
+
+    Weights and confidences are added up in the order of frames: the last bits of a sum, which
+    decide where its mean lies half-way between two rounded values, do not depend on how the
+    table is cut."""
+    seen = observations.where(T.missing(F.col("proposed_text")).isNotNull()).select(
+        key, F.col("proposed_text").alias("text"), "frame_idx", weight().alias("w"), F.col("ocr_confidence").alias("conf")
+    )
+    order = Window.partitionBy(key, "text").orderBy("frame_idx", "w", "conf")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = seen.select(key, "text", "frame_idx", "conf", F.row_number().over(order).alias("i"), F.sum("w").over(so_far).alias("score"), F.sum("conf").over(so_far).alias("total"))
     return (
-        observations.where(T.missing(F.col("proposed_text")).isNotNull())
-        .withColumn("w", weight())
-        .groupBy(key, F.col("proposed_text").alias("text"))
+        added.groupBy(key, "text")
         .agg(
-            F.sum("w").alias("score"),
+            F.max_by(F.struct("score", "total"), "i").alias("sums"),
             F.count("*").alias("frames"),
-            F.max("ocr_confidence").alias("max_conf"),
-            F.avg("ocr_confidence").alias("mean_conf"),
+            F.max("conf").alias("max_conf"),
+            F.count("conf").alias("read"),
             F.min("frame_idx").alias("first"),
         )
+        .select(key, "text", "sums.score", "frames", "max_conf", V.ratio(F.col("sums.total"), F.col("read")).alias("mean_conf"), "first")
     )
 
 
@@ -108,7 +118,7 @@ def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "t
         F.coalesce("text", F.lit("")).alias("proposed_text"),
         status.alias("status"),
         reason.alias("review_reason"),
-        F.coalesce(F.round("fused", 4), F.lit(0.0)).alias("fused_confidence"),
+        F.coalesce(V.rounded(F.col("fused"), 4), F.lit(0.0)).alias("fused_confidence"),
         F.coalesce(F.round("format", 4), F.lit(0.0)).alias("format_score"),
         F.coalesce(agree, F.lit(0)).cast("bigint").alias("agreement_count"),
         F.coalesce("total_observations", F.lit(0)).cast("bigint").alias("total_observations"),

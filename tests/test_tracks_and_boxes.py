@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pytest
@@ -45,6 +46,24 @@ def test_fusion_examples(spark):
     assert again == got
 
 
+def test_means_half_way_are_those_of_sums_in_frame_order(spark):
+    """Means of eight confidences of two digits: every other one lies half-way at four places."""
+    rng = random.Random(3)
+    confidences = {t: [rng.randrange(50, 80) / 100 for _ in range(8)] for t in range(300)}
+    rows = [r for t, cs in confidences.items() for r in obs(t, *[("KA01AB1234", c, 50) for c in cs])]
+
+    def fused(cs):
+        total = 0.0
+        for c in cs:
+            total += c
+        return math.floor(min(0.99, total / 8 + 0.12) * 1e4 + 0.5) / 1e4
+
+    want = {t: fused(cs) for t, cs in confidences.items()}
+    df = spark.createDataFrame(rows, OBS)
+    for cut in (df.coalesce(1), df.repartition(7).orderBy(F.rand(1))):
+        assert {r.track_id: r.fused_confidence for r in fuse.fuse(cut).collect()} == want
+
+
 def test_consensus_by_characters(spark):
     rows = [(1, 1, 0.0, "DL01AB1234", 1.0, 0.0), (1, 2, 0.0, "DL01A81234", 0.8, 0.0), (1, 3, 0.0, "DL01AB1234", 0.9, 0.0), (1, 4, 0.0, "X", 0.1, 0.0)]
     r = fuse.char_consensus(spark.createDataFrame(rows, OBS)).first()
