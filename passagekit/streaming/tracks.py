@@ -1,20 +1,24 @@
 """Passages over a stream of frames with keyed state and event-time timers.
 
-A passage is a run of a track's frames without a silence longer than ``gap``. Per track the
-state is a list of open passages, each with its span, its number of frames and at most ``k``
-sharpest frames, however many it has seen. Frames may come in any order within the watermark's
-delay: one that lies between two open passages joins them. A timer is set for the moment at
-which no frame can join a passage any more; when the watermark has passed it the passage is
-given out, the earliest of a track first, and forgotten. What has been given out equals the
-batch form (`batch_passages`) over the frames that were not late, so a restart from the
-checkpoint between any two batches changes nothing.
+A passage is a run of a track's frames without a silence longer than ``gap``. Tracks are dealt
+into shares; a share's state is a list of blocks of the open passages of its tracks, each
+passage with its span, its number of frames and at most ``k`` sharpest frames, however many it
+has seen. Frames may come in any order within the watermark's delay: one that lies between two
+open passages joins them. A timer is set for the moment at which no frame can join a share's
+earliest passage any more; when the watermark has passed it, all passages that the watermark
+has passed are given out, the earliest of a track first, and forgotten, and the timer is set
+anew for those left. What has been given out equals the batch form (`batch_passages`) over the
+frames that were not late, so a restart from the checkpoint between any two batches changes
+nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,17 +28,42 @@ from passagekit.plans.shared import shared_dir
 
 #: Rows given out: a sharpest frame of a closed passage.
 PASSAGE = "track_id bigint, first_ms bigint, last_ms bigint, frames bigint, sharpest int, frame_idx bigint, sharpness double"
-_OPEN = "first_ms bigint, last_ms bigint, frames bigint, best array<struct<frame_idx: bigint, sharpness: double>>"
+_OPEN = "block binary"
 #: State with lists and timers needs this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-def _sharpest(frames: list[tuple], k: int) -> list[tuple]:
-    return sorted(frames, key=lambda f: (-f[1], f[0]))[:k]
+#: Shares of the tracks, each a key of the state, and rows in one element of a share's list.
+SHARES, BLOCK = 256, 4096
+#: Kept frames of open passages; ``frames`` counts a passage's frames in its first row alone.
+_KEPT = [("track_id", "i8"), ("first_ms", "i8"), ("last_ms", "i8"), ("frames", "i8"), ("frame_idx", "i8"), ("sharpness", "f8")]
+
+
+def _joined(rows: np.ndarray, gap: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of all tracks of ``rows``, joined where no silence parts them: their ``k``
+    sharpest frames each, by track and time, and every frame's place."""
+    rows = rows[np.lexsort((rows["first_ms"], rows["track_id"]))]
+    if not len(rows):
+        return rows, np.zeros(0, "i4")
+    reached = pd.Series(rows["last_ms"]).groupby(rows["track_id"]).cummax().to_numpy()
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows["track_id"][1:] != rows["track_id"][:-1]) | (rows["first_ms"][1:] - reached[:-1] > gap)
+    starts, no = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    first, last, frames = rows["first_ms"][starts], np.maximum.reduceat(rows["last_ms"], starts), np.add.reduceat(rows["frames"], starts)
+    # The sharpest first; what is no number comes before all numbers, as in SQL.
+    rows = rows[np.lexsort((rows["frame_idx"], -rows["sharpness"], ~np.isnan(rows["sharpness"]), no))]
+    place = np.arange(len(rows)) - starts[no]
+    kept = place < k
+    rows, no, place = rows[kept], no[kept], place[kept]
+    rows["first_ms"], rows["last_ms"], rows["frames"] = first[no], last[no], np.where(place == 0, frames[no], 0)
+    return rows, place
 
 
 class Passages(StatefulProcessor):
-    """The open passages of one track: a list state, and a timer for the end of each."""
+    """The open passages of a share of the tracks: a list state of blocks of rows, and one
+    timer for the end of the earliest.
+
+    Every call of the state and every key passes a socket, so many tracks take these together
+    and their frames are sorted as arrays."""
 
     def __init__(self, gap_ms: int, k: int = C.FRAMES_PER_TRACK):
         self.gap, self.k = gap_ms, k
@@ -43,45 +72,47 @@ class Passages(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", _OPEN)
 
-    def _held(self) -> list[list]:
-        return [[r[0], r[1], r[2], [tuple(f) for f in r[3]]] for r in self.open.get()]
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(r[0]) for r in self.open.get()), _KEPT)
 
-    def _hold(self, passages: list[list]) -> None:
-        if passages:
-            self.open.put([(a, b, n, _sharpest(best, self.k)) for a, b, n, best in passages])
+    def _hold(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.open.put([(rows[i : i + BLOCK].tobytes(),) for i in range(0, len(rows), BLOCK)])
         else:
             self.open.clear()
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        late, passages = timerValues.getCurrentWatermarkInMs(), self._held()
-        before = {p[1] + self.gap + 1 for p in passages}
-        for row in rows:
-            if row.ms < late:
-                continue
-            frame = [row.ms, row.ms, 1, [(row.frame_idx, row.sharpness)]]
-            apart = []
-            for p in passages:
-                if p[0] - self.gap <= frame[1] and frame[0] <= p[1] + self.gap:
-                    frame = [min(p[0], frame[0]), max(p[1], frame[1]), p[2] + frame[2], p[3] + frame[3]]
-                else:
-                    apart.append(p)
-            if len(frame[3]) > 8 * self.k:
-                frame[3] = _sharpest(frame[3], self.k)
-            passages = [*apart, frame]
-        # The timer of a passage that has grown stays; it will find nothing to close.
-        for end in {p[1] + self.gap + 1 for p in passages} - before:
-            self.handle.registerTimer(end)
-        self._hold(passages)
+    def _end(self, rows: np.ndarray) -> int:
+        """The moment at which no frame can join the earliest any more."""
+        return int(rows["last_ms"].min()) + self.gap + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        late, before = timerValues.getCurrentWatermarkInMs(), self._held()
+        held = before
+        for pdf in rows:
+            pdf = pdf[pdf["ms"] >= late]
+            some = np.empty(len(pdf), _KEPT)
+            some["track_id"], some["first_ms"], some["last_ms"], some["frames"] = pdf["track_id"], pdf["ms"], pdf["ms"], 1
+            some["frame_idx"], some["sharpness"] = pdf["frame_idx"], pdf["sharpness"]
+            held, _ = _joined(np.concatenate((held, some)), self.gap, self.k)
+        if len(held):
+            # A timer that is set stays, also if its passage has grown: when it fires the next is set.
+            if not len(before) or self._end(held) < self._end(before):
+                self.handle.registerTimer(self._end(held))
+            self._hold(held)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, passages = expiredTimerInfo.getExpiryTimeInMs(), self._held()
-        closed = sorted(p for p in passages if p[1] + self.gap < now)
-        if closed:
-            self._hold([p for p in passages if p[1] + self.gap >= now])
-        for first, last, n, best in closed:
-            for i, (frame, sharpness) in enumerate(_sharpest(best, self.k), 1):
-                yield Row(track_id=key[0], first_ms=first, last_ms=last, frames=n, sharpest=i, frame_idx=frame, sharpness=sharpness)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows, place = _joined(self._held(), self.gap, self.k)
+        over = rows["last_ms"] + self.gap < timerValues.getCurrentWatermarkInMs()
+        if over.any():
+            self._hold(rows[~over])
+        if not over.all():
+            self.handle.registerTimer(self._end(rows[~over]))
+        if over.any():
+            out = pd.DataFrame(rows[over]).assign(sharpest=place[over].astype("i4") + 1)
+            # The number of a passage's frames stands in the row of its sharpest.
+            out["frames"] = out["frames"].where(out["sharpest"] == 1).ffill().astype("i8")
+            yield out[[c.split()[0] for c in PASSAGE.split(", ")]]
 
     def close(self) -> None:
         pass
@@ -93,7 +124,8 @@ def passages(frames: DataFrame, gap_ms: int, lateness_ms: int, k: int = C.FRAMES
     known = frames.where("ts IS NOT NULL AND track_id IS NOT NULL AND sharpness IS NOT NULL")
     timed = known.withWatermark("ts", f"{lateness_ms} milliseconds")
     rows = timed.select(F.col("track_id").cast("bigint").alias("track_id"), "ts", F.unix_millis("ts").alias("ms"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("sharpness").cast("double").alias("sharpness"))
-    return rows.groupBy("track_id").transformWithState(Passages(gap_ms, k), PASSAGE, "append", "eventtime")
+    share = F.pmod(F.xxhash64("track_id"), F.lit(SHARES)).alias("share")
+    return rows.select("*", share).groupBy("share").transformWithStateInPandas(Passages(gap_ms, k), PASSAGE, "append", "eventtime")
 
 
 def batch_passages(frames: DataFrame, gap_ms: int, k: int = C.FRAMES_PER_TRACK) -> DataFrame:

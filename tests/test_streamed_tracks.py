@@ -99,3 +99,23 @@ def test_replay_equals_batch(spark, n):
     assert whole == plain([f for f in frames if None not in f])
     end = max((r[2] for r in whole), default=0) - LATE
     assert got == [r for r in whole if r[2] + GAP < end]
+
+
+def test_state_and_timers_do_not_grow_with_tracks(spark, tmp_path):
+    """A row of state and a timer for each of many tracks or passages made big streams endless."""
+    n = 3000
+    frames = [frame(2 * t % 7 + 15_000 * i, t, 2 * t + i, float("nan") if t == 5 else float(t)) for t in range(n) for i in (0, 1)]
+    for part in (frames, [frame(100_000, n, 2 * n)]):
+        put(spark, f"{tmp_path}/in", part)
+    query = tracks.run_available(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    rows = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(rows) < n
+    got = read(spark, f"{tmp_path}/out")
+    assert len(got) == 2 * n and sorted(r[5] for r in got) == list(range(2 * n)) and all(r[3:5] == (1, 1) for r in got)
+
+
+def test_no_number_is_the_sharpest_as_in_batches(spark):
+    frames = [frame(i, 1, i, s) for i, s in enumerate((2.0, float("nan"), 3.0))] + [frame(900_000, 2, 9)]
+    df = spark.createDataFrame(frames, SCHEMA)
+    got, whole = (sorted((r.sharpest, r.frame_idx) for r in d.where("track_id = 1").collect()) for d in (tracks.closed_passages(df, GAP, LATE, slices=2), tracks.batch_passages(df, GAP)))
+    assert got == whole == [(1, 1), (2, 2), (3, 0)]
