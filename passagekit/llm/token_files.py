@@ -26,10 +26,11 @@ import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -65,8 +66,11 @@ class Encoder:
     tokenizer that is not like that is found out by probes and gets whole texts.
     """
 
-    PROBES = ("a b", " a", "a\t\tb \n", "Don't\nstop.!\r\ré é", "x\x0b'S \x0c12  <|endoftext|>a", "Wörter,.b \x1cc?!", "a\x85b\xa0c\u2003d\u2028e\u3000f")
-    MARKS = ".,;:!?"
+    PROBES = ("a b", " a", "a\t\tb \n", "Don't\nstop.!\r\ré é", "x\x0b'S \x0c12  <|endoftext|>a", "Wörter,.b \x1cc?!", "a\x85b\xa0c\u2003d\u2028e\u3000f", "É$$$ a%&*. b#+=~ C~!")
+    MARKS = ".,;:!?$%&*#+=~"
+    #: A line of letters, composed and of one case pair each, and marks; of another line nothing.
+    LATIN = re.compile(rf"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)|.*)$", re.MULTILINE)
+    CASES = "".join(c for c in map(chr, range(0x41, 0xDF)) if c.isupper())
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,17 +81,16 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.runs, self.known, self.older = self._runs, {}, {}
+        self.apart, self.known, self.older = True, {}, {}
+        cases = [self.CASES, *self.CASES]
+        self.caseless = self._library(cases) == self._library([c.lower() for c in cases])
         whole = self._library(list(self.PROBES))
         if whole != self.packed(self.PROBES) or whole != self._library([" ".join(self.runs(p)) for p in self.PROBES]):
-            self.runs = lambda text: [text]
+            self.apart, self.known = False, {}
 
-    @staticmethod
-    def _runs(text: str) -> list[str]:
-        """Between white space; four marks that Python counts as such are none to others."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return re.findall(r"[^ \t\n\r\x0b\x0c]+", text)
-        return text.split()
+    def runs(self, text: str) -> list[str]:
+        """What the library sees at a time: what stands between white space, or the text."""
+        return re.findall(r"[^ \t\n\r\x0b\x0c]+", text) if self.apart else [text]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,30 +110,52 @@ class Encoder:
         return out
 
     def _learn(self, new: Iterable[str]) -> None:
-        known, letters, others, parts = self.known, {}, {}, {}
-        for run in new:
-            word = run.rstrip(self.MARKS)
-            if len(run) <= LONGEST and word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
-                letters[word] = 0
-                if len(word) < len(run):
-                    parts[run] = len(word)
-                    others[run[len(word) :]] = 0
-            else:
-                others[run] = 0
+        """Letters without case where the tokenizer has none, and marks, each once. Runs of
+        Latin letters are told by one search over all lines, others one by one."""
+        known, new, letters, others, parts = self.known, [*new], set(), set(), []
+        if not new:
+            return
+        text = "\n".join(new) if self.apart else ""
+        lines = self.LATIN.findall(text.lower() if self.caseless else text) if self.apart else [("", "")] * len(new)
+        for run, (word, marks) in zip(new, lines, strict=True):
+            if not word and len(run) <= LONGEST:
+                word = run.rstrip(self.MARKS)
+                marks = run[len(word) :]
+                if not word.isalpha() or not (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
+                    word = ""
+            if not word or len(run) > LONGEST:
+                others.add(run)
+                continue
+            letters.add(word)
+            if marks:
+                others.add(marks)
+            if marks or word != run:
+                parts.append((run, word, marks))
         for get, found in ((self._words, letters), (self._library, others)):
-            missing = [w for w in found if w not in known]
+            missing = found.difference(known)
+            again = missing.intersection(self.older)
+            known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            missing = [*missing.difference(again)]
             known.update(zip(missing, get(missing), strict=True))
-        for run, n in parts.items():
-            known[run] = known[run[:n]] + known[run[n:]]
-
-    def packed(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text, ``width`` bytes each; none for a null."""
-        known, older, runs = self.known, self.older, [self.runs(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(runs)).difference(known)
+        for run, word, marks in parts:
+            known[run] = known[word] + known[marks] if marks else known[word]
+
+    def packed(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text, ``width`` bytes each; none for a null. Arrow splits the texts
+        and tells their distinct runs, so that a batch's runs are looked up once each."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        runs = pc.ascii_split_whitespace(texts) if self.apart else None
+        ends = np.asarray(runs.offsets) - runs.offsets[0].as_py() if self.apart else np.arange(len(texts) + 1)
+        coded = (runs.flatten() if self.apart else texts).dictionary_encode()
+        distinct, known, older = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self.older
+        new = set(distinct).difference(known)
         again = new.intersection(older)
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         self._learn(new.difference(again))
-        out = [b"".join(map(known.__getitem__, r)) for r in runs]
+        ids = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        bounds = (np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64))[ends].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[x:y]) for x, y in pairwise(bounds)]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
@@ -301,7 +326,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, id_col: str = "
         part = None
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else part
-            for doc_id, ids in zip(batch.column(1).to_pylist(), model.packed(batch.column(2).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), model.packed(batch.column(2)), strict=True):
                 if out and out.size >= FILE:
                     yield done(part)
                     out, no = None, no + 1

@@ -140,3 +140,15 @@ def test_empty_table_and_other_ids(spark, tmp_path):
     assert T.fetch(manifest, f"file://{tmp_path}/c", empty).collect() == []
     with pytest.raises(ValueError, match="integer"):
         T.write(empty.selectExpr("'x' AS doc_id", "text"), PATH, f"file://{tmp_path}/d")
+
+
+def test_words_of_one_spelling_reach_the_library_once():
+    """Cases that the tokenizer does not tell apart, and marks behind a word, cost no further call."""
+    encoder, seen = T.Encoder(PATH), []
+    words = encoder._words
+    encoder._words = lambda new: seen.extend(new) or words(new)
+    texts = ["Vörtgrumpf vörtgrumpf$$$ VÖRTGRUMPF.", None, "", " \n", "K k\xa0K Σας \x1cvörtgrumpf%%%"]
+    want = encoder._library([t or "" for t in texts])
+    assert encoder.packed(texts) == want == encoder.packed(texts)
+    assert [w for w in seen if "grumpf" in w] == ["vörtgrumpf"]
+    assert encoder.packed([]) == []
