@@ -22,16 +22,16 @@ def weight() -> Column:
     return F.greatest(F.lit(C.FUSE_FLOOR), full)
 
 
-def vote_tally(observations: DataFrame, key: str = "track_id") -> DataFrame:
+def vote_tally(observations: DataFrame, key: str = "track_id", by: str = "frame_idx") -> DataFrame:
     """``(key, text, score, frames, max_conf, mean_conf, first)`` per text of a track.
 
-    Weights and confidences are added up in the order of frames: the last bits of a sum, which
-    decide where its mean lies half-way between two rounded values, do not depend on how the
-    table is cut."""
+    Weights and confidences are added up in the order of ``by`` (of frames): the last bits of a
+    sum, which decide where its mean lies half-way between two rounded values or at a bound, do
+    not depend on how the table is cut."""
     seen = observations.where(T.missing(F.col("proposed_text")).isNotNull()).select(
-        key, F.col("proposed_text").alias("text"), "frame_idx", weight().alias("w"), F.col("ocr_confidence").alias("conf")
+        key, F.col("proposed_text").alias("text"), "frame_idx", F.col(by).alias("by"), weight().alias("w"), F.col("ocr_confidence").alias("conf")
     )
-    order = Window.partitionBy(key, "text").orderBy("frame_idx", "w", "conf")
+    order = Window.partitionBy(key, "text").orderBy("by", "w", "conf")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = seen.select(key, "text", "frame_idx", "conf", F.row_number().over(order).alias("i"), F.sum("w").over(so_far).alias("score"), F.sum("conf").over(so_far).alias("total"))
     return (
@@ -47,11 +47,11 @@ def vote_tally(observations: DataFrame, key: str = "track_id") -> DataFrame:
     )
 
 
-def char_consensus(observations: DataFrame, key: str = "track_id") -> DataFrame:
+def char_consensus(observations: DataFrame, key: str = "track_id", by: str = "frame_idx") -> DataFrame:
     """``(key, text, confidence)``: of the texts of the heaviest length the heaviest
     character at each place, and the mean of those characters' mean confidences. Ties go
     to what came first."""
-    tally = vote_tally(observations, key).withColumn("n", F.length("text"))
+    tally = vote_tally(observations, key, by).withColumn("n", F.length("text"))
     lengths = tally.groupBy(key, "n").agg(F.sum("score").alias("w"), F.min("first").alias("f"))
     best = lengths.groupBy(key).agg(F.max_by("n", F.struct("w", -F.col("f"))).alias("n"))
     chars = F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "char")
@@ -66,7 +66,7 @@ def char_consensus(observations: DataFrame, key: str = "track_id") -> DataFrame:
     )
 
 
-def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "track_id") -> DataFrame:
+def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "track_id", by: str = "frame_idx") -> DataFrame:
     """One row per track: consensus text, status and why.
 
     ``observations (key, frame_idx, sharpness, proposed_text, ocr_confidence,
@@ -74,15 +74,15 @@ def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "t
     those whose frames all lack a text. The best text by votes gains confidence with each
     agreeing frame; it conflicts with a runner-up nearly as heavy that two frames or more
     support, unless a consensus by characters between two close texts fits a template
-    better.
+    better. Votes are added up in the order of ``by``.
     """
-    tally = vote_tally(observations, key)
+    tally = vote_tally(observations, key, by)
     ranked = tally.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "first", "text", "frames", "max_conf", "mean_conf"))).alias("all")
     )
     seen = observations.groupBy(key).agg(F.count("*").alias("total_observations"), F.max_by("frame_idx", F.struct("sharpness", -F.col("frame_idx"))).alias("sharpest_frame_idx"))
     every = seen if tracks is None else tracks.select(key).distinct().join(seen, key, "left")
-    df = every.join(ranked, key, "left").join(char_consensus(observations, key).withColumnRenamed("text", "chars"), key, "left")
+    df = every.join(ranked, key, "left").join(char_consensus(observations, key, by).withColumnRenamed("text", "chars"), key, "left")
     df = df.withColumns({"b": F.get("all", F.lit(0)), "n": F.get("all", F.lit(1))})
     gap = (F.col("n.s") - F.col("b.s")) / F.greatest(F.lit(1e-6), -F.col("b.s"))
     conflict = F.col("n").isNotNull() & (gap < C.AMBIGUITY_MARGIN) & (F.col("n.frames") >= 2)
@@ -130,14 +130,20 @@ def fuse(observations: DataFrame, tracks: DataFrame | None = None, key: str = "t
 
 def passages(observations: DataFrame, fps: float = 25.0, key: str = "track_id") -> DataFrame:
     """One row per track: when it was seen, how often, its type, mean confidence, and its
-    consensus over its sharpest frames. ``observations`` also has ``vehicle_type``."""
-    span = observations.groupBy(key).agg(
+    consensus over its sharpest frames. ``observations`` also has ``vehicle_type``.
+
+    Confidences of all frames are added up in the order of frames, votes of the sharpest ones
+    from the sharpest on."""
+    order = Window.partitionBy(key).orderBy("frame_idx", "ocr_confidence")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = observations.select(key, "frame_idx", "vehicle_type", "ocr_confidence", F.row_number().over(order).alias("i"), F.sum("ocr_confidence").over(so_far).alias("total"))
+    span = added.groupBy(key).agg(
         F.min("frame_idx").alias("first_frame"),
         F.max("frame_idx").alias("last_frame"),
         F.count("*").alias("frames"),
-        F.round(F.avg("ocr_confidence"), 9).alias("mean_conf"),
+        V.rounded(V.ratio(F.max_by("total", "i"), F.count("ocr_confidence")), 9).alias("mean_conf"),
         F.min_by("vehicle_type", "frame_idx").alias("vehicle_type"),
     )
     seconds = lambda c: F.round(F.col(c) / fps, 2)
-    read = fuse(sharpest(observations, key=key), key=key).select(key, "plate_text", "proposed_text", "status", "review_reason", "fused_confidence")
+    read = fuse(sharpest(observations, key=key), key=key, by="rank").select(key, "plate_text", "proposed_text", "status", "review_reason", "fused_confidence")
     return span.join(read, key).withColumns({"first_sec": seconds("first_frame"), "last_sec": seconds("last_frame")})

@@ -64,6 +64,47 @@ def test_means_half_way_are_those_of_sums_in_frame_order(spark):
         assert {r.track_id: r.fused_confidence for r in fuse.fuse(cut).collect()} == want
 
 
+def test_passages_add_up_votes_from_the_sharpest_on(spark):
+    """Five votes whose mean and bonus make just 0.88: the last bits of the sum decide on acceptance."""
+    rng = random.Random(5)
+    tracks = {}
+    while len(tracks) < 200:
+        cs = [rng.randrange(60, 95) for _ in range(5)]
+        if sum(cs) == 380:
+            tracks[len(tracks)] = [(c / 100, s) for c, s in zip(cs, rng.sample(range(50, 200), 5), strict=True)]
+    rows = [(*r, "car") for t, seen in tracks.items() for r in obs(t, *[("KA01AB1234", c, s) for c, s in seen])]
+
+    def status(seen):
+        total = 0.0
+        for c, _ in sorted(seen, key=lambda x: -x[1]):
+            total += c
+        return "uncertain" if min(0.99, total / 5 + 0.03 * 4) < 0.88 else "accepted"
+
+    want = {t: status(seen) for t, seen in tracks.items()}
+    assert len(set(want.values())) == 2
+    df = spark.createDataFrame(rows, OBS + ", vehicle_type string")
+    for cut in (df.coalesce(1), df.repartition(7).orderBy(F.rand(1))):
+        assert {r.track_id: r.status for r in fuse.passages(cut).collect()} == want
+
+
+def test_means_of_whole_passages_half_way_at_nine_places(spark):
+    """Means of 256 confidences of two digits have ten places: every other one lies half-way."""
+    rng = random.Random(7)
+    confidences = {t: [rng.randrange(50, 80) / 100 for _ in range(256)] for t in range(60)}
+    rows = [(*r, "car") for t, cs in confidences.items() for r in obs(t, *[("KA01AB1234", c, i % 97) for i, c in enumerate(cs)])]
+
+    def mean(cs):
+        total = 0.0
+        for c in cs:
+            total += c
+        return math.floor(total / 256 * 1e9 + 0.5) / 1e9
+
+    want = {t: mean(cs) for t, cs in confidences.items()}
+    df = spark.createDataFrame(rows, OBS + ", vehicle_type string")
+    for cut in (df.coalesce(1), df.repartition(7).orderBy(F.rand(1))):
+        assert {r.track_id: r.mean_conf for r in fuse.passages(cut).collect()} == want
+
+
 def test_consensus_by_characters(spark):
     rows = [(1, 1, 0.0, "DL01AB1234", 1.0, 0.0), (1, 2, 0.0, "DL01A81234", 0.8, 0.0), (1, 3, 0.0, "DL01AB1234", 0.9, 0.0), (1, 4, 0.0, "X", 0.1, 0.0)]
     r = fuse.char_consensus(spark.createDataFrame(rows, OBS)).first()
